@@ -113,15 +113,15 @@ class Coclustering:
         rows = cells.withColumn("k0", F.lit(0)) if row_partition is None else cells.join(row_partition.withColumnRenamed("k", "k0"), "row_id")
         return rows.withColumn("l0", F.col("col_id")) if col_partition is None else rows.join(col_partition.withColumnRenamed("l", "l0"), "col_id")
 
-    def run_distributed(self, cells: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+    def run_distributed(self, cells: DataFrame, d: int, row_partition: DataFrame | None = None, col_partition: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """``(row_partition, col_partition)`` after the iterations, for matrices beyond one task.
 
         Two jobs an iteration: cells are aggregated to one row of statistics for each item and cluster of the other
         axis, a kernel sweeps those, and the new partition is written to the checkpoint folder.
         """
         prior = self.prior or empirical_prior(cells, d)
-        rows = cells.select("row_id").distinct().withColumn("k", F.lit(0))
-        cols = cells.select("col_id").distinct().withColumn("l", F.col("col_id"))
+        rows = row_partition or cells.select("row_id").distinct().withColumn("k", F.lit(0))
+        cols = col_partition or cells.select("col_id").distinct().withColumn("l", F.col("col_id"))
         for t in range(self.iterations):
             rows = self._half(cells, d, prior, rows, cols, "row_id", "k", "col_id", "l", self.row.start, [self.seed, t, 0])
             cols = self._half(cells, d, prior, cols, rows, "col_id", "l", "row_id", "k", self.col.start, [self.seed, t, 1])

@@ -236,7 +236,7 @@ def test_lines(spark, awkward):
         for p, x in enumerate((t or "").split("\n")):
             w = normal(x).split(" ")
             if len(w) >= 5:
-                h = [xxhash.xxh64_intdigest(y.encode(), 42) for y in w]
+                h = [xxhash.xxh64_intdigest(y.encode(), 42) for y in set(w)]
                 found.append((d is None, d if d is not None else 0, k, p, normal(x), sum(1 << b for b in range(64) if 2 * sum(y >> b & 1 for y in h) > len(h))))
     found.sort()
     root = list(range(len(found)))

@@ -222,7 +222,9 @@ def normal(line):
     return re.sub(r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ", line.lower().strip(" "))
 
 
-def test_lines(spark, awkward):
+@pytest.mark.parametrize("wide", [lines.WIDE, 300])
+def test_lines(spark, awkward, monkeypatch, wide):
+    monkeypatch.setattr(lines, "WIDE", wide)
     base = "this is a long enough line that is shared by documents number " + " ".join(f"word{i}" for i in range(400))
     near = base.replace("shared", "sharet")
     rows = [(1, f"{base}\nkeep me as i am here"), (2, f"{near}\nshort line\nshort line"), (3, f"x\n{base.upper()}\nother line with six words here"), (None, base), (4, None), (5, "")]

@@ -58,7 +58,7 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = lines.line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), equal_words=1)
     return found.select(F.col("id").alias("doc_id"), "n_lines", F.size("dropped").cast("bigint").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from strataweave.llm.common import nullable
 
 #: Elements whose text is never shown as text.
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video textarea select".split())
+HIDDEN = frozenset("script style noscript template title svg math iframe object canvas audio video textarea select".split())
 #: Elements that part blocks.
 PARTING = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -119,7 +119,7 @@ def blocks(page: str) -> list[Block]:
         elif tag in HIDDEN and not m[3].endswith("/"):
             skip = tag
         elif tag not in VOID and tag in PARTING and tag not in ("p", "li", "dd", "dt", "td", "th", "tr", "option") or m[3]:
-            if tag in VOID or m[3].endswith("/"):
+            if tag in VOID or tag == "head" or m[3].endswith("/"):  # a head's end may be left out, so it says nothing of what follows
                 continue
             inner = -1 if _HIDES.search(m[3]) else standing(tag, m[3], place)
             if tag in ("p", "li", "dd", "dt", "td", "th", "tr", "option", "a") and inner == place:

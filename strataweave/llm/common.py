@@ -7,14 +7,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six white-space characters that part words, U+0020 and U+0009 to U+000D.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
-#: Entries after which a worker's word cache is emptied, so that its memory stays bounded.
-CACHE_ENTRIES = 400_000
+#: A join's smaller side is broadcast up to so many values (some 16 bytes each), and shuffled beyond.
+SMALL = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +53,36 @@ def unstage(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``(doc struct, row struct<file bigint, at bigint>)``: each row's columns and a key of its own.
+
+    The key is the row's place in its Parquet file, so it is the same in every scan, however the files are split among
+    executors; paths are told apart by 64-bit hashes. A table that isn't a plain scan of Parquet files is
+    staged first. Columns of any name are carried inside ``doc``.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation" or "row_index" not in _metadata_fields(docs):
+        docs = stage(docs, "rows")
+    place = docs.metadataColumn("_metadata")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias("row"))
+
+
+def _metadata_fields(docs: DataFrame) -> list[str]:
+    try:
+        return docs.select(docs.metadataColumn("_metadata").alias("m")).schema["m"].dataType.names
+    except AnalysisException:  # not a file source
+        return []
+
+
+def release() -> None:
+    """Give a worker's spare memory back at the end of a partition: workers are used again by later stages."""
+    for base in [b for b, x in _powers.items() if len(x[0]) > 1 << 20]:
+        del _powers[base]
+    pa.default_memory_pool().release_unused()
+
+
 def nullable(rows: pa.Array) -> pa.Array:
     """A struct column whose fields may be null, as Spark declares them."""
     if not pa.types.is_struct(rows.type):
@@ -60,6 +91,12 @@ def nullable(rows: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(rows.flatten(), fields=fields)
 
 
+def join_small(large: DataFrame, small: DataFrame, key: str | list[str], values: Column, how: str = "inner") -> DataFrame:
+    """A join that broadcasts ``small`` if its ``values``, summed over its rows, are SMALL or fewer, and shuffles otherwise."""
+    size = small.agg(F.coalesce(F.sum(values), F.lit(0)).alias("n")).first()["n"]
+    return large.join(F.broadcast(small) if size <= SMALL else small, key, how)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (bigint): one row ``(node, root)`` per node on an edge.
 
@@ -81,7 +118,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = sign
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # each greater neighbour goes to the least: of a hub's links only those to greater nodes meet here
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")

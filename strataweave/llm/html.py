@@ -1,9 +1,9 @@
 """Main text of web pages from flat text blocks and a decision tree (operator 7).
 
 A page is cut at block-level tags into flat text blocks. Each is described by its word count and link density, by those
-of the blocks before and after it, and by what its tags say: whether it is a heading, and whether the nearest
-element that says something marks an article or page furniture. A decision tree trained on a small labelled table
-(:func:`training_blocks`) decides which blocks are main text.
+of the blocks before and after it, and by tag kinds: whether it is a heading, and whether an element around it (or its
+landmark role) is by definition an article or page furniture. Classes and ids aren't read. A decision tree trained on a
+small labelled table (:func:`training_blocks`) decides which blocks are main text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import nullable
+from strataweave.llm.common import nullable, release
 
 #: Elements whose text is never shown as text.
 HIDDEN = frozenset("script style noscript template title svg math iframe object canvas audio video textarea select".split())
@@ -30,21 +30,14 @@ PARTING = frozenset(
 )
 #: Elements without an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that hold furniture, and those that hold the article.
+#: Elements, and landmark roles, that by definition hold furniture or the article.
 FURNITURE = frozenset("nav aside footer form header menu dialog button fieldset".split())
+FURNITURE_ROLES = frozenset("navigation complementary contentinfo form banner menu menubar dialog alertdialog alert search button".split())
 ARTICLE = frozenset("article main".split())
-#: Words in class, id and role that name furniture, or the article.
-FURNITURE_WORDS = frozenset(
-    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disqus footer header legal login masthead "
-    "menu modal nav navbar navigation newsletter notice notices pager pagination popup privacy promo promoted promotion related reply replies respond search share sharing "
-    "sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget alert banners gdpr complementary contentinfo".split()
-)
-ARTICLE_WORDS = frozenset("article body content entry post story text main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ROLE = re.compile(r"\srole\s*=\s*[\"']?\s*([a-z]+)", re.I)
 _HIDES = re.compile(r"\shidden(?:[\s=>/]|\Z)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 @dataclass
@@ -53,21 +46,19 @@ class Block:
     words: int
     linked: int
     heading: bool
-    #: 1 in an article, -1 in furniture, 0 where no element says.
+    #: 1 in an article or main element, 2 in an article inside an article, -1 in furniture, 0 where no element says.
     place: int
 
 
-def standing(tag: str, attributes: str, outer: int) -> int:
+def standing(tag: str, attributes: str, outer: int, in_article: bool) -> int:
     """What an element says of its text, where its surroundings say ``outer``."""
-    words = set(_SPLIT.split(" ".join("".join(m) for m in _MARKS.findall(attributes)).lower())) if "=" in attributes else set()
     if outer < 0:
         return -1
-    if words & FURNITURE_WORDS and not (tag in ARTICLE or tag == "body" or tag == "html"):
-        return -1
-    if tag in FURNITURE:
+    role = found[1].lower() if "role" in attributes and (found := _ROLE.search(attributes)) else ""
+    if tag in FURNITURE or role in FURNITURE_ROLES:
         return outer if tag == "header" and outer > 0 else -1  # an article's own header holds its title
-    if tag in ARTICLE or words & ARTICLE_WORDS:
-        return 1
+    if tag in ARTICLE or role in ARTICLE:
+        return 2 if in_article and "article" in (tag, role) else max(outer, 1)
     return outer
 
 
@@ -121,7 +112,7 @@ def blocks(page: str) -> list[Block]:
         elif tag not in VOID and tag in PARTING and tag not in ("p", "li", "dd", "dt", "td", "th", "tr", "option") or m[3]:
             if tag in VOID or tag == "head" or m[3].endswith("/"):  # a head's end may be left out, so it says nothing of what follows
                 continue
-            inner = -1 if _HIDES.search(m[3]) else standing(tag, m[3], place)
+            inner = -1 if _HIDES.search(m[3]) else standing(tag, m[3], place, any(t == "article" for t, _ in stack))
             if tag in ("p", "li", "dd", "dt", "td", "th", "tr", "option", "a") and inner == place:
                 continue
             stack.append((tag, place))
@@ -130,50 +121,88 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "heading", "place")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "heading", "place", "page has an article")
 
 
 def describe(found: list[Block]) -> np.ndarray:
     """FEATURES of each block of a page."""
     words = np.array([0, *(b.words for b in found), 0], float)
     density = np.array([0, *(b.linked / b.words for b in found), 0], float)
-    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], [b.heading for b in found], [b.place for b in found]]).reshape(-1, len(FEATURES))
+    place = np.array([b.place for b in found], float)
+    has = np.full(len(found), float(len(found) > 0 and bool((place > 0).any())))
+    return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], [b.heading for b in found], place, has]).reshape(-1, len(FEATURES))
 
 
-def training_blocks(pages: int = 240, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """The small labelled table: blocks of pages laid out after common templates, labelled by the part they came from."""
+def training_blocks(pages: int = 400, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """The small labelled table: blocks of pages of varied layouts, labelled by the part they came from.
+
+    A third of the pages have no element that says where the article is. Sizes and links vary by part: menus of links or of
+    plain words, adverts, notices, footers, forms, bylines, related links, reader comments with their authors' names,
+    paragraphs long and short, headings, lists, quotations.
+    """
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("ka", "lo", "mi", "ren", "tas", "u", "vel", "or")) for _ in range(rng.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
-    link = lambda a, b: f'<a href="/{word()}">{words(a, b)}</a>'
+    link = lambda text: f'<a href="/{word()}">{text}</a>'
     xs, ys = [], []
     for _ in range(pages):
         labelled: dict[str, bool] = {}
 
-        def put(text: str, good: bool, kept: dict[str, bool] = labelled) -> str:
+        def put(tag: str, text: str, good: bool, kept: dict[str, bool] = labelled) -> str:
             kept[" ".join(re.sub(r"<[^>]*>", "", text).split())] = good
-            return text
-
-        bare = rng.random() < 0.4  # templates without an element or class that says where the article is
-        items = "".join(f"<li>{put(link(1, 2), False)}</li>" for _ in range(rng.randint(3, 9)))
-        top = f"<div><ul>{items}</ul></div>" if bare else rng.choice(("<nav><ul>%s</ul></nav>", '<div class="menu"><ul>%s</ul></div>', '<ul id="site-nav">%s</ul>')) % items
-        story = f"<h1>{put(words(2, 12), True)}</h1>"
-        for _ in range(rng.randint(2, 9)):
-            story += f"<p>{put(words(12, 90) if bare or rng.random() < 0.7 else words(1, 8), True)}</p>"
-            if rng.random() < 0.25:
-                story += f"<h2>{put(words(1, 7), True)}</h2><p>{put(words(14, 60), True)}</p>"
-            if not bare and rng.random() < 0.2:
-                story += f"<ul><li>{put(words(2, 12), True)}</li><li>{put(link(1, 4) + ' ' + words(3, 9), True)}</li></ul>"
-            if not bare and rng.random() < 0.15:
-                story += f'<div class="{rng.choice(("ad", "advert", "promo related", "share"))}">{put(words(2, 25), False)}</div>'
-        middle = f"<div>{story}</div>" if bare else rng.choice(("<article>%s</article>", "<main>%s</main>", '<div class="post-content">%s</div>')) % story
-        sides = [f"<aside>{put(words(2, 30), False)}</aside>", f"<form>{put(words(1, 6), False)}</form>", f'<div class="comments"><p>{put(words(5, 60), False)}</p></div>', f'<div class="cookie-notice">{put(words(8, 30), False)}</div>']
-        side = "".join(rng.sample(sides, rng.randint(0, 4)))
-        foot = f"<p>{put(words(2, 6), False)}</p><ul><li>{put(link(1, 3), False)}</li><li>{put(link(1, 2), False)}</li></ul>" if bare else f"<footer>{put('&copy; ' + words(2, 20), False).replace('&copy;', '(c)')}</footer>"
-        found = blocks(f"<html><body>{top}{middle}{side}{foot}</body></html>")
-        known = [labelled.get(b.text) for b in found]
-        for x, y in zip(describe(found), known, strict=True):
-            if y is not None:
+            return f"<{tag}>{text}</{tag.split()[0]}>"
+
+        def listing(linked: bool, most: int) -> str:
+            return "<ul>" + "".join(put("li", link(words(1, most)) if linked else words(1, most), False) for _ in range(rng.randint(3, 9))) + "</ul>"
+
+        def paragraph() -> str:
+            n = rng.choice(((12, 30), (30, 90), (60, 160), (1, 4), (1, 11)))
+            text = words(*n)
+            return put("p", f"{text} {link(words(1, 3))} {words(2, 9)}" if rng.random() < 0.2 else f"<b>{text}</b>" if rng.random() < 0.1 else text, True)
+
+        marked = rng.random() < 0.67
+        story = put("h1", words(1, 14), True)
+        if rng.random() < 0.3:
+            story += put("p", words(1, 3) + " " + link(words(1, 2)), False) if not marked else ""
+        story += paragraph() if marked else put("p", words(20, 90), True)
+        for _ in range(rng.randint(0, 12)):
+            story += paragraph()
+            if rng.random() < 0.12:
+                story += put(rng.choice(("h2", "h3")), words(1, 8), True) + put("p", words(14, 60), True)
+            if rng.random() < 0.08:
+                story += "<ul>" + "".join(put("li", words(4, 25), True) for _ in range(rng.randint(2, 5))) + "</ul>"
+            if rng.random() < 0.06:
+                story += put("blockquote", words(8, 40), True)
+            if marked and rng.random() < 0.08:
+                story += rng.choice((put("aside", words(3, 40), False), f"<form>{put('label', words(1, 5), False)}{put('button', words(1, 2), False)}</form>", f"<nav>{listing(True, 4)}</nav>"))
+        if not marked:
+            story += put("p", words(15, 80), True)
+        advert = lambda: put("div", words(2, 25) if rng.random() < 0.6 else link(words(2, 12)), False)
+        notice = lambda: put("div", words(6, 16) + " " + link(words(1, 3)), False)
+
+        def comments(nested: bool = False) -> str:
+            out = "" if nested else put("h3", words(1, 3), False)
+            for _ in range(rng.randint(1, 4)):
+                text = put("div", link(words(1, 2)), False) + put("p", words(2, 12) if not marked else words(2, 60), False)
+                out += f"<article>{text}</article>" if nested else text
+            return f"<section>{out}</section>"
+
+        menu = listing(rng.random() < 0.8, 3)
+        if marked:
+            top = rng.choice(("<nav>%s</nav>", "<header>%s</header>", '<div role="navigation">%s</div>', "<div>%s</div>")) % menu + (advert() if rng.random() < 0.5 else "")
+            wrap = rng.choice(("<article>%s</article>", "<main>%s</main>", "<main><article>%s</article></main>", '<div role="main">%s</div>', "<article><div><section>%s</section></div></article>"))
+            # comments that no element tells from the story stay outside of it
+            middle = wrap % (story + comments(nested=True)) if "<article>%s" in wrap and rng.random() < 0.3 else wrap % story
+            tail = "".join(rng.sample([f"<aside>{put('p', words(2, 60), False)}</aside>", f"<form>{put('label', words(1, 6), False)}</form>", comments(), notice(), advert()], rng.randint(0, 4)))
+            foot = put("footer", "(c) " + words(2, 20), False)
+        else:
+            top = rng.choice(("<div>%s</div>", "<table><tr><td>%s</td></tr></table>")) % menu + (advert() + listing(True, 5) if rng.random() < 0.3 else "")
+            middle = rng.choice(("<div>%s</div>", "<div><div>%s</div></div>", "<section>%s</section>")) % story
+            tail = (listing(True, 6) if rng.random() < 0.5 else "") + (comments() if rng.random() < 0.3 else "")
+            foot = put("div", "(c) " + words(2, 9), False) + (listing(True, 3) if rng.random() < 0.5 else "")
+        found = blocks(f"<html><body>{top}{middle}{tail}{foot}</body></html>")
+        for x, b in zip(describe(found), found, strict=True):
+            if (y := labelled.get(b.text)) is not None:
                 xs.append(x)
                 ys.append(y)
     return np.array(xs), np.array(ys)
@@ -196,7 +225,7 @@ class Tree:
         return self.good[at]
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 4) -> Tree:
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 6) -> Tree:
     """A classification tree by Gini impurity, grown to ``depth`` with ``least`` rows or more in a leaf."""
     rows: list[list] = [[-1, 0.0, 0, False]]
     todo = [(0, np.arange(len(y)), 0)]
@@ -252,6 +281,7 @@ def _extract(tree: Tree):
                 # a reference can name half a surrogate pair; it can't be written in UTF-8
                 texts = [t if t.isascii() else t.encode("utf-8", "replace").decode() for t in texts]
                 yield pa.RecordBatch.from_arrays([nullable(part.column(1)), pa.array(texts, pa.string())], names=["row", "text"])
+        release()
 
     return run
 

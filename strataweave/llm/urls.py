@@ -93,12 +93,12 @@ def filter_urls(pages: DataFrame, rules: list[Rule] = RULES, default: str = ALLO
     listed = F.array(*[F.struct(F.lit(r.listed).alias("listed"), F.lit(len(r.name)).alias("size"), F.lit(-i).alias("order"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(rules)])
     always = F.array(*map(F.lit, filed.pop("", []))).cast("array<int>")
     by_token = F.create_map(*[x for t, places in sorted(filed.items()) for x in (F.lit(t), F.array(*map(F.lit, places)))]) if filed else None
-    parts = pages.withColumn("__host", host).withColumn("__path", path)
-    fetched = F.flatten(F.filter(F.transform(url_tokens(F.col("__host"), F.col("__path")), lambda t: F.element_at(by_token, t)), lambda x: x.isNotNull())) if filed else F.array().cast("array<int>")
+    # the page's own columns stay inside a struct, so no name can clash
+    parts = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), host.alias("host"), path.alias("path"))
+    fetched = F.flatten(F.filter(F.transform(url_tokens(F.col("host"), F.col("path")), lambda t: F.element_at(by_token, t)), lambda x: x.isNotNull())) if filed else F.array().cast("array<int>")
     candidates = F.transform(F.concat(always, fetched), lambda i: F.get(listed, i))
-    fits = F.filter(candidates, lambda c: F.rlike(F.concat("__host", "__path"), c["pattern"]))
-    best = F.array_max(F.col("__fits"))
+    fits = F.filter(candidates, lambda c: F.rlike(F.concat("host", "path"), c["pattern"])) if rules else F.lit(None).cast("array<struct<listed: boolean, size: int, order: int, name: string, verdict: string, pattern: string>>")
+    best = F.array_max(F.col("fits"))
     rule = F.when(best["listed"], best["name"])
-    out = parts.withColumn("__fits", fits) if rules else parts.withColumn("__fits", F.lit(None).cast("array<struct<listed: boolean, size: int, order: int, name: string, verdict: string, pattern: string>>"))
-    verdict = F.struct(F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
-    return out.withColumn("url_verdict", verdict).drop("__host", "__path", "__fits")
+    verdict = F.struct("host", "path", rule.alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict")).alias("url_verdict")
+    return parts.withColumn("fits", fits).select(*[F.col(f"page.`{c}`").alias(c) for c in pages.columns if c != "url_verdict"], verdict)

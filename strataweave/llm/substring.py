@@ -1,14 +1,16 @@
 """Repeated passages across documents, by seed and extend (operator 5).
 
-Seeds are winnowed anchors: 5-word grams, of which each span of 13 words holds one at least, picked by hash
-and so the same in every document. Documents join on anchors that another document has too. Around a shared
-anchor the text is extended both ways, word by word, to every window of the threshold length that holds
-it; a window that starts in a document with a smaller id is a repeat, and overlapping repeats merge into
-maximal spans.
-
-Documents travel in chunks. Per chunk and range of hashes, one packed row goes to the task of that range and
-a bit for each key comes back: a passage of any number of documents counts once a chunk, nothing is paired
-within a group, and a task holds one range's keys, whose number is set from the count of rows.
+Seeds are winnowed anchors: 8-word grams, of which each span of 13 words holds one at least, picked by hash and so the
+same in every document. Documents join on the anchors that several documents have. There each occurrence is extended both
+ways, word by word, against the one in the document with the smallest id; every window of the threshold length
+inside the match is a repeat. Windows that this leaves open are compared with all other occurrences of the anchor. Overlapping
+repeats merge into maximal spans.
+
+Documents travel in chunks. Per chunk and range of hashes, one packed row goes to the task of that range and an answer
+for each key comes back: occurrences of an anchor with the same words around it count once a chunk, with their smallest id,
+nothing is paired within a group, and a task holds one range's keys, whose number is set from the bytes of
+text. An anchor of more than HOT chunks is dealt anew by its whole windows, so that a phrase of very many documents with
+different words around it doesn't come to one task.
 """
 
 from __future__ import annotations
@@ -23,17 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.bpe import text_slices
-from strataweave.llm.common import mix, nullable, run_hashes, stage, word_bounds, word_hashes
+from strataweave.llm.common import mix, nullable, release, run_hashes, stage, word_bounds, word_hashes
 
 #: Words of an anchor; a window holds WINDOW - ANCHOR + 1 grams, of which the least is taken.
-ANCHOR = 5
+ANCHOR = 8
 WINDOW = 13
 #: Bytes of text in a chunk, beyond which a new one begins; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 #: Rows in a chunk at most.
 CHUNK_ROWS = 20_000
-#: Rows of the table for each range of hashes: with some 100 to 1,000 anchors of 8 bytes a row, 6 to 60 MB come together in a task.
-ROWS_A_RANGE = 8_000
+#: Bytes of text for each range of hashes: about a million anchors of some 60 bytes come together in a task.
+RANGE_BYTES = 24 << 20
+#: Chunks that share an anchor before it is dealt by its windows.
+HOT = 64
 #: Stands for a null id, after all others.
 NO_ID = (1 << 63) - 1
 
@@ -83,21 +87,53 @@ class Chunk:
         got = np.concatenate(got) if got else np.zeros(0, np.int64)
         return h[got], place[got], doc[got]
 
-    def windows(self, shared: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, place and document of the windows that hold a shared anchor."""
-        h, start, doc = self.grams(self.window)
-        mark = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(mark, place[shared], 1)
-        upto = np.concatenate(([0], np.cumsum(mark)))
-        held = upto[start + self.window - self.anchor + 1] > upto[start]
-        return mix(h[held] ^ np.uint64(0x632BE59BD9B4E019)), start[held], doc[held]
+    def around(self, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words around anchors, as 32-bit hashes in the order of the text (0 beyond the document), and which windows lie inside it.
 
+        With r words beside the anchor, window l starts l words before it and takes columns r - l to 2 r - l.
+        """
+        r, n = self.window - self.anchor, len(self.words)
+        words = np.concatenate((np.maximum(self.words >> np.uint64(32), np.uint64(1)).astype(np.uint32), [np.uint32(0)]))
+        at = place[:, None] + np.concatenate((np.arange(-r, 0), np.arange(self.anchor, self.anchor + r)))
+        lo, hi = self.at[doc], self.at[doc + 1]
+        at = np.where((at >= lo[:, None]) & (at < hi[:, None]), at, n)
+        l = np.arange(r + 1)
+        inside = (place[:, None] - l >= lo[:, None]) & (place[:, None] - l + self.window <= hi[:, None])
+        return words[at].reshape(-1, 2 * r), inside
 
-def by_range(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and their bounds by range of hashes."""
-    keys = np.unique(keys)
-    edges = [(i << 64) // ranges for i in range(1, ranges)]
-    return keys, np.concatenate(([0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]))
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of hashes of each key; it rises with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def cut_by_range(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of sorted keys, for the ranges that have any."""
+    if not len(keys):
+        return []
+    r = range_of(keys, ranges)
+    new = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+    return list(zip(r[new].tolist(), new.tolist(), [*new[1:].tolist(), len(keys)], strict=True))
+
+
+def least(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each row the least value among the rows with its key."""
+    if not len(keys):
+        return values
+    order = np.argsort(keys, kind="stable")
+    new = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+    out = np.empty(len(keys), values.dtype)
+    out[order] = np.repeat(np.minimum.reduceat(values[order], new), np.diff(np.concatenate((new, [len(keys)]))))
+    return out
+
+
+_MIX = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) | 1 for i in range(64)], dtype=object)
+
+
+def joined_hash(keys: np.ndarray, words: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each key with the words beside it."""
+    factors = np.array([int(x) & 0xFFFFFFFFFFFFFFFF for x in _MIX[: words.shape[1]]], np.uint64)
+    return mix(mix(keys + np.uint64(salt)) + (mix((words.astype(np.uint64) + np.uint64(1)) * factors) * factors).sum(axis=1, dtype=np.uint64))
 
 
 def pack(column: pa.Array) -> bytes:
@@ -126,8 +162,8 @@ def _chunks(window: int, anchor: int, ranges: int, chunk_bytes: int):
             bounds = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x[2]) for x in held])))).astype(np.int64)
             chunk = (part << 32) | number
             hashes, _, _ = Chunk(ids, data, bounds, window, anchor).seeds()
-            keys, cuts = by_range(hashes, ranges)
-            rows = [{"chunk": chunk, "range": r, "keys": keys[a:b].tobytes()} for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            keys = np.unique(hashes)
+            rows = [{"chunk": chunk, "range": r, "keys": keys[a:b].tobytes()} for r, a, b in cut_by_range(keys, ranges)]
             carried = pack(pa.concat_arrays([x[3] for x in held]))
             rows.append({"chunk": chunk, "ids": ids.tobytes(), "text": press.compress(data), "bounds": bounds.tobytes(), "rows": press.compress(carried)})
             return pa.RecordBatch.from_pylist(rows, schema)
@@ -143,6 +179,7 @@ def _chunks(window: int, anchor: int, ranges: int, chunk_bytes: int):
                     held, size, number = [], 0, number + 1
         if held:
             yield out()
+        release()
 
     return run
 
@@ -152,34 +189,65 @@ def _arrays(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
 
 
 def _answer(group: pa.Table, flags: list[np.ndarray]) -> pa.Table:
-    packed = pa.array([np.packbits(x).tobytes() for x in flags], pa.binary())
-    return pa.table({"chunk": group.column("chunk"), "range": group.column("range"), "flags": packed})
+    return pa.table({"chunk": group.column("chunk"), "range": group.column("range"), "flags": pa.array([np.ascontiguousarray(x).tobytes() for x in flags], pa.binary())})
 
 
-def _common(group: pa.Table) -> pa.Table:
-    """For each chunk's keys of one range: a bit for each, set if another chunk has the key too."""
-    lists = _arrays(group.column("keys"), np.uint64)
-    every, count = np.unique(np.concatenate(lists), return_counts=True)
-    twice = every[count > 1]
-    return _answer(group, [np.isin(x, twice, assume_unique=True) for x in lists])
+def _common(hot: int):
+    def run(group: pa.Table) -> pa.Table:
+        """For each chunk's anchors of one range: 1 if another chunk has it too, 2 if more than ``hot`` chunks have it, else 0."""
+        lists = _arrays(group.column("keys"), np.uint64)
+        every, which, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        flags = ((count > 1).astype(np.uint8) + (count > hot))[which]
+        return _answer(group, np.split(flags, np.cumsum([len(x) for x in lists])[:-1]))
 
+    return run
 
-def _earlier(group: pa.Table) -> pa.Table:
-    """For each chunk's keys of one range: a bit for each, set if another chunk has it with a smaller id."""
-    lists = _arrays(group.column("keys"), np.uint64)
-    keys, low = np.concatenate(lists), np.concatenate(_arrays(group.column("lows"), np.int64))
-    order = np.argsort(keys, kind="stable")
-    new = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-    least = np.empty(len(keys), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(low[order], new), np.diff(np.concatenate((new, [len(keys)]))))
-    return _answer(group, np.split(least < low, np.cumsum([len(x) for x in lists])[:-1]))
 
+def extend(keys: np.ndarray, lows: np.ndarray, words: np.ndarray, reach: int) -> np.ndarray:
+    """For each occurrence (anchor, smallest id, words around) a bit for each window: whether a smaller id has it too."""
+    order = np.lexsort((lows, keys))
+    key, low, side = keys[order], lows[order], words[order]
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.concatenate((new, [len(key)])))
+    first = np.repeat(new, sizes)
+    # against the first document: how many words match to the left and to the right of the anchor
+    same = side == side[first]
+    left = np.logical_and.accumulate(same[:, reach - 1 :: -1] if reach else same[:, :0], axis=1).sum(axis=1)
+    right = np.logical_and.accumulate(same[:, reach:], axis=1).sum(axis=1)
+    l = np.arange(reach + 1)
+    found = (l <= left[:, None]) & (reach - l <= right[:, None]) & (low > low[first])[:, None]
+    # what is open is compared with the others of the anchor
+    open_ = np.repeat(np.add.reduceat(~found.all(axis=1), new) > 1, sizes)
+    rest = np.flatnonzero(open_ & (np.repeat(sizes, sizes) > 2))
+    for k in l.tolist() if len(rest) else []:
+        window = joined_hash(key[rest], side[rest, reach - k : 2 * reach - k], k + 1)
+        found[rest, k] |= least(window, low[rest]) < low[rest]
+    bits = np.empty(len(key), np.uint16)
+    bits[order] = (found.astype(np.uint16) << l.astype(np.uint16)).sum(axis=1)
+    return bits
+
+
+def _extend(reach: int):
+    def run(group: pa.Table) -> pa.Table:
+        """For each chunk's occurrences, and hot windows, of one range: the windows that a smaller id has."""
+        keys, lows = _arrays(group.column("keys"), np.uint64), _arrays(group.column("lows"), np.int64)
+        words = [x.reshape(-1, 2 * reach) for x in _arrays(group.column("words"), np.uint32)]
+        sizes = [len(x) for x in words]
+        cold = extend(*(np.concatenate(x) for x in ([k[:n] for k, n in zip(keys, sizes)], [k[:n] for k, n in zip(lows, sizes)], words)), reach) if sum(sizes) else np.zeros(0, np.uint16)
+        hot, low = np.concatenate([k[n:] for k, n in zip(keys, sizes)]), np.concatenate([k[n:] for k, n in zip(lows, sizes)])
+        warm = (least(hot, low) < low).astype(np.uint16)
+        cold, warm = np.split(cold, np.cumsum(sizes)[:-1]), np.split(warm, np.cumsum([len(k) - n for k, n in zip(keys, sizes)])[:-1])
+        return _answer(group, [np.concatenate(x) for x in zip(cold, warm)])
+
+    return run
 
-def _flags(answers: pa.Table, step: int, cuts: np.ndarray) -> np.ndarray:
-    out = np.zeros(int(cuts[-1]), bool)
+
+def _flags(answers: pa.Table, step: int, kind: type, cuts: dict[int, tuple[int, int]], size: int) -> np.ndarray:
+    out = np.zeros(size, kind)
     for s, r, raw in zip(answers.column("step").to_pylist(), answers.column("range").to_pylist(), answers.column("flags"), strict=True):
         if s == step:
-            out[cuts[r] : cuts[r + 1]] = np.unpackbits(np.frombuffer(raw.as_buffer(), np.uint8), count=int(cuts[r + 1] - cuts[r]))
+            a, b = cuts[r]
+            out[a:b] = np.frombuffer(raw.as_buffer(), kind)
     return out
 
 
@@ -190,50 +258,86 @@ def _open(chunk: pa.Table, window: int, anchor: int) -> Chunk:
     return Chunk(ids, data, bounds, window, anchor)
 
 
-def candidates(c: Chunk, answers: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, place and document of the chunk's windows around anchors that two documents have."""
-    hashes, place, doc = c.seeds()
-    keys, cuts = by_range(hashes, ranges)
-    shared = _flags(answers, 1, cuts)
-    which = np.searchsorted(keys, hashes)
-    low, high = np.full(len(keys), len(c.ids)), np.full(len(keys), -1)
-    np.minimum.at(low, which, doc)
-    np.maximum.at(high, which, doc)
-    return c.windows((shared | (high > low))[which], place)
+class Seeds:
+    """A chunk's occurrences of anchors that several documents have, reduced to classes with the same words around.
 
+    Classes are sorted by anchor; each has the smallest id of its occurrences. Windows of hot anchors are classes by themselves.
+    """
 
-def least_ids(c: Chunk, hashes: np.ndarray, doc: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, their bounds by range, the smallest id in the chunk of each, and each row's index in them."""
-    keys, cuts = by_range(hashes, ranges)
-    which = np.searchsorted(keys, hashes)
-    low = np.full(len(keys), NO_ID)
-    np.minimum.at(low, which, c.ids[doc])
-    return keys, cuts, low, which
+    def __init__(self, c: Chunk, answers: pa.Table, ranges: int):
+        hashes, place, doc = c.seeds()
+        keys, which = np.unique(hashes, return_inverse=True)
+        said = _flags(answers, 1, np.uint8, {r: (a, b) for r, a, b in cut_by_range(keys, ranges)}, len(keys))
+        order = np.lexsort((doc, which))
+        several = np.zeros(len(keys), bool)
+        w, d = which[order], doc[order]
+        several[w[1:][(w[1:] == w[:-1]) & (d[1:] != d[:-1])]] = True
+        kind = np.where(said == 2, 2, (said > 0) | several)[which]
+        cold, hot = kind == 1, kind == 2
+        self.place, self.doc, self.hashes = place[cold], doc[cold], hashes[cold]
+        self.words, self.inside = c.around(self.place, self.doc)
+        self.ids = c.ids[self.doc]
+        _, self.cls, self.key, self.low, first = self._classes(joined_hash(self.hashes, self.words), self.hashes, self.ids)
+        self.side = self.words[first]
+        _, inside = c.around(place[hot], doc[hot])
+        row, l = np.nonzero(inside)
+        self.start, self.owner = place[hot][row] - l, doc[hot][row]
+        h = run_hashes(c.words, c.window)[self.start] if len(row) else np.zeros(0, np.uint64)
+        # a key apart from those of anchors
+        h = mix(h ^ np.uint64(0x632BE59BD9B4E019))
+        _, self.hot_cls, self.hot_key, self.hot_low, _ = self._classes(h, h, c.ids[self.owner])
+
+    @staticmethod
+    def _classes(names: np.ndarray, keys: np.ndarray, ids: np.ndarray):
+        """Classes by ``names``: names, the class of each row, key, smallest id and a row of each, sorted by key."""
+        name, first, cls = np.unique(names, return_index=True, return_inverse=True)
+        low = np.empty(len(name), np.int64)
+        low[cls] = least(names, ids)
+        order = np.argsort(keys[first], kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return name[order], back[cls], keys[first][order], low[order], first[order]
 
 
 def _ask(window: int, anchor: int, ranges: int):
-    schema = pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("keys", pa.binary()), ("lows", pa.binary())])
+    schema = pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("keys", pa.binary()), ("lows", pa.binary()), ("words", pa.binary())])
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        c = _open(chunk, window, anchor)
-        hashes, _, doc = candidates(c, answers, ranges)
-        keys, cuts, low, _ = least_ids(c, hashes, doc, ranges)
+        s = Seeds(_open(chunk, window, anchor), answers, ranges)
         number = chunk.column("chunk")[0].as_py()
-        rows = [{"chunk": number, "range": r, "keys": keys[a:b].tobytes(), "lows": low[a:b].tobytes()} for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        cold, hot = ({r: (a, b) for r, a, b in cut_by_range(k, ranges)} for k in (s.key, s.hot_key))
+        rows = []
+        for r in sorted({*cold, *hot}):
+            (a, b), (x, y) = cold.get(r, (0, 0)), hot.get(r, (0, 0))
+            rows.append({"chunk": number, "range": r, "keys": s.key[a:b].tobytes() + s.hot_key[x:y].tobytes(), "lows": s.low[a:b].tobytes() + s.hot_low[x:y].tobytes(), "words": s.side[a:b].tobytes()})
         return pa.Table.from_pylist(rows, schema)
 
     return run
 
 
+def _repeats(c: Chunk, answers: pa.Table, ranges: int) -> np.ndarray:
+    """The starts, in words of the chunk, of the windows that a document with a smaller id has."""
+    s = Seeds(c, answers, ranges)
+    cold, hot = ({r: (a, b) for r, a, b in cut_by_range(k, ranges)} for k in (s.key, s.hot_key))
+    bits, warm = np.zeros(len(s.key), np.uint16), np.zeros(len(s.hot_key), np.uint16)
+    for step, r, raw in zip(answers.column("step").to_pylist(), answers.column("range").to_pylist(), answers.column("flags"), strict=True):
+        if step == 2:
+            said, (a, b), (x, y) = np.frombuffer(raw.as_buffer(), np.uint16), cold.get(r, (0, 0)), hot.get(r, (0, 0))
+            bits[a:b], warm[x:y] = said[: b - a], said[b - a :]
+    l = np.arange(s.inside.shape[1])
+    found = ((bits[s.cls][:, None] >> l.astype(np.uint16)) & 1).astype(bool) | (s.ids > s.low[s.cls])[:, None]
+    row, at = np.nonzero(found & s.inside)
+    again = warm[s.hot_cls].astype(bool) | (c.ids[s.owner] > s.hot_low[s.hot_cls])
+    return np.concatenate((s.place[row] - at, s.start[again]))
+
+
 def _mark(window: int, anchor: int, ranges: int):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         c = _open(chunk, window, anchor)
-        hashes, place, doc = candidates(c, answers, ranges)
-        _, cuts, low, which = least_ids(c, hashes, doc, ranges)
-        repeat = _flags(answers, 2, cuts)[which] | (low[which] < c.ids[doc])
+        starts_at = np.unique(_repeats(c, answers, ranges))
         edge = np.zeros(len(c.words) + 1, np.int64)
-        np.add.at(edge, place[repeat], 1)
-        np.add.at(edge, place[repeat] + window, -1)
+        edge[starts_at] += 1
+        edge[starts_at + window] -= 1
         gone = np.cumsum(edge)[:-1] > 0
         ids, words, spans, kept, cut = [], [], [], [], []
         starts, ends, data = c.starts, c.ends, c.data
@@ -263,7 +367,7 @@ def _mark(window: int, anchor: int, ranges: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, carry: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, carry: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES, hot: int = HOT) -> DataFrame:
     """``(row struct, id, n_words, spans array<struct<start, length>>, kept_text, cut_text)`` for every row of ``docs``.
 
     ``spans`` are the maximal repeats, counted in words: the words covered by runs of ``window`` words that also
@@ -272,22 +376,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no words and no spans. A row with a null id comes after all others: it loses
     what they have and takes nothing from them; rows of equal ids, repeated rows included, take nothing from
     each other. Texts under ``window`` words are left alone. Columns outside ``carry`` aren't read, and clash
-    with nothing. An empty table gives no rows. Runs are compared by 64-bit hashes of their words.
+    with nothing. An empty table gives no rows. Anchors are compared by 64-bit hashes, the words around them by 32 bits each.
     """
-    count = docs.count()
+    if not 0 < window - anchor < 16:
+        raise ValueError("an anchor is 1 to 15 words shorter than the window")
+    text = F.col(text_col).cast("string")
+    size = docs.agg(F.sum(F.octet_length(text).cast("bigint")).alias("n")).first()["n"] or 0
     row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(True).alias("any"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.spark_partition_id().cast("bigint").alias("part"), row.alias("row"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text, F.lit("")).alias("text"), F.spark_partition_id().cast("bigint").alias("part"), row.alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
-    ranges = max(1, math.ceil(count / ROWS_A_RANGE))
+    ranges = max(1, math.ceil(size / range_bytes))
     packed = "chunk bigint, range bigint, keys binary, ids binary, text binary, bounds binary, rows binary"
     table = stage(rows.mapInArrow(_chunks(window, anchor, ranges, chunk_bytes), packed), "chunks")
     texts = table.where("text is not null").select("chunk", "ids", "text", "bounds", "rows")
     answer = "chunk bigint, range bigint, flags binary"
-    first = table.where("keys is not null").select("chunk", "range", "keys").groupBy("range").applyInArrow(_common, answer)
+    first = table.where("keys is not null").select("chunk", "range", "keys").groupBy("range").applyInArrow(_common(hot), answer)
     answers = stage(first.withColumn("step", F.lit(1)), "anchor-answers")
     bare = texts.select("chunk", "ids", "text", "bounds")
-    asked = bare.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_ask(window, anchor, ranges), "chunk bigint, range bigint, keys binary, lows binary")
-    second = asked.groupBy("range").applyInArrow(_earlier, answer).withColumn("step", F.lit(2))
+    asked = bare.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_ask(window, anchor, ranges), "chunk bigint, range bigint, keys binary, lows binary, words binary")
+    second = asked.groupBy("range").applyInArrow(_extend(window - anchor), answer).withColumn("step", F.lit(2))
     answers = answers.unionByName(stage(second, "window-answers"))
     out = f"row {kind}, id bigint, n_words bigint, spans array<struct<start: bigint, length: bigint>>, kept_text string, cut_text string"
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(window, anchor, ranges), out)

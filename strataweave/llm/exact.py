@@ -1,54 +1,93 @@
 """Exact duplicates by a tree merge of sorted digest runs (operator 2).
 
-Each partition of the digest table makes a sorted run. Runs meet in ceil(log4 partitions) rounds: in a round, runs
-whose numbers differ in one base-4 digit exchange quarters of their digest range, and each merges the four
-it gets. Equal digests fall together in the merge and the row that stays survives with a count, so every level
-carries each text once and no task ever holds more than about one partition's digests: digests spread
-evenly, and copies are gone after the first merge that sees them. "Equal" means that SHA-256, XXH64 and byte
+Each partition of the digest table sorts its digests into runs. Runs meet in ceil(log2 partitions) binomial rounds: in round
+k, partitions whose numbers differ in bit k exchange halves of their digest range, and each merges the runs that
+it then has, several ways. Equal digests fall together in the merge; the row that stays survives with a count, so every
+level carries each text once and no task ever holds more than about one partition's digests: digests spread
+evenly, and copies are gone after the first merge that sees them. "Equal" is verified at every level: SHA-256, XXH64 and byte
 length all agree.
 """
 
 from __future__ import annotations
 
-import math
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import stage
+from strataweave.llm.common import release, stage
 
 #: Digests in one sorted run of the first level at most.
 RUN_ROWS = 1 << 16
-RADIX_BITS = 2
 _RUN = "run bigint, prefix bigint, rows binary"
-#: Of a run: the digest in four big-endian words, the check hash, the length, the staying row's id and number, the count.
-_FIELDS = 9
-_NO_ID = -(1 << 63)
-
-
-def merge(table: np.ndarray, largest: bool) -> np.ndarray:
-    """One row for each text of ``table`` (unsigned columns of _FIELDS): sorted, the staying row kept, counts added."""
-    if not len(table):
-        return table
-    wish = table[:, 6].view(np.int64) if largest else ~table[:, 6].view(np.int64)
-    # of equal ids, the row with the lowest number comes last and stays
-    order = np.lexsort((~table[:, 7], wish, *(table[:, i] for i in range(5, -1, -1))))
-    rows = table[order]
-    new = np.flatnonzero(np.concatenate(([True], (rows[1:, :6] != rows[:-1, :6]).any(axis=1))))
+#: Of a run: the digest in four big-endian words, the check hash, the length; the staying row's id (and whether it has one) and number; the count.
+_FIELDS, _KEY, _ID, _KNOWN, _ROW, _COUNT = 10, 6, 6, 7, 8, 9
+
+
+def _keys(rows: np.ndarray) -> np.ndarray:
+    """What tells texts apart, as fixed strings in the order of the run."""
+    return np.ascontiguousarray(rows[:, :_KEY].astype(">u8")).view("S48").ravel()
+
+
+def _worse(a: np.ndarray, b: np.ndarray, largest: bool) -> np.ndarray:
+    """Where ``b`` stays rather than ``a``: a known id goes before none, then the wanted id, then the lowest row."""
+    x, y = a[:, _ID].view(np.int64), b[:, _ID].view(np.int64)
+    known, other = a[:, _KNOWN], b[:, _KNOWN]
+    better = (y > x) if largest else (y < x)
+    return (other > known) | ((other == known) & (better | ((x == y) & (b[:, _ROW] < a[:, _ROW]))))
+
+
+def sorted_run(rows: np.ndarray, largest: bool) -> np.ndarray:
+    """One row for each text, sorted: the staying row kept, counts added."""
+    if not len(rows):
+        return rows
+    wish = rows[:, _ID].view(np.int64) if largest else ~rows[:, _ID].view(np.int64)
+    # of equal texts the row that stays comes last
+    order = np.lexsort((~rows[:, _ROW], wish, rows[:, _KNOWN], *(rows[:, i] for i in range(_KEY - 1, -1, -1))))
+    rows = rows[order]
+    new = np.flatnonzero(np.concatenate(([True], (rows[1:, :_KEY] != rows[:-1, :_KEY]).any(axis=1))))
     out = rows[np.concatenate((new[1:], [len(rows)])) - 1]
-    out[:, 8] = np.add.reduceat(rows[:, 8], new)
+    out[:, _COUNT] = np.add.reduceat(rows[:, _COUNT], new)
     return out
 
 
-def pieces(run: int, prefix: int, rows: np.ndarray, level: int) -> list[tuple[int, int, bytes]]:
-    """The run cut by the digest bits of ``level``, addressed to the merges of that level."""
-    digit = (rows[:, 0] >> np.uint64(64 - RADIX_BITS * (level + 1))) & np.uint64((1 << RADIX_BITS) - 1)
-    cuts = np.searchsorted(digit, np.arange((1 << RADIX_BITS) + 1, dtype=np.uint64))
-    return [(run >> RADIX_BITS, (prefix << RADIX_BITS) | d, rows[a:b].tobytes()) for d, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+def merge_two(a: np.ndarray, b: np.ndarray, largest: bool) -> np.ndarray:
+    """Two sorted runs as one; a text of both keeps the row that stays."""
+    at = np.searchsorted(_keys(a), _keys(b), "right") + np.arange(len(b))
+    out, mine = np.empty((len(a) + len(b), _FIELDS), np.uint64), np.ones(len(a) + len(b), bool)
+    mine[at] = False
+    out[at], out[mine] = b, a
+    second = np.flatnonzero((out[1:, :_KEY] == out[:-1, :_KEY]).all(axis=1)) + 1
+    if not len(second):
+        return out
+    total = out[second, _COUNT] + out[second - 1, _COUNT]
+    better = _worse(out[second - 1], out[second], largest)
+    out[second[better] - 1] = out[second[better]]
+    out[second - 1, _COUNT] = total
+    return np.delete(out, second, axis=0)
+
+
+def merge(runs: list[np.ndarray], largest: bool) -> np.ndarray:
+    """Sorted runs merged several ways: the two shortest first."""
+    heap = [(len(r), i, r) for i, r in enumerate(runs)]
+    heapq.heapify(heap)
+    number = len(heap)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        both, number = merge_two(a, b, largest), number + 1
+        heapq.heappush(heap, (len(both), number, both))
+    return heap[0][2] if heap else np.empty((0, _FIELDS), np.uint64)
+
+
+def pieces(run: int, prefix: int, rows: np.ndarray, level: int, rounds: int) -> list[tuple[int, int, bytes]]:
+    """The run cut in two by the digest's bit ``level``, addressed to the merges of that round; whole after the last."""
+    if level >= rounds:
+        return [(run, prefix, rows.tobytes())] if len(rows) else []
+    cut = int(np.count_nonzero(~(rows[:, 0] >> np.uint64(63 - level)) & np.uint64(1)))
+    return [(run >> 1, prefix << 1 | half, part.tobytes()) for half, part in enumerate((rows[:cut], rows[cut:])) if len(part)]
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -57,65 +96,48 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def _runs(largest: bool, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: dict[int, list[np.ndarray]] = {}
 
-        def out() -> pa.RecordBatch:
-            number, rows = held[0][0], merge(np.concatenate([x[1] for x in held]), largest)
-            return _batch(pieces(number, 0, rows, 0) if rounds else [(0, 0, rows.tobytes())])
+        def out(part: int) -> pa.RecordBatch:
+            return _batch(pieces(part, 0, sorted_run(np.concatenate(held.pop(part)), largest), 0, rounds))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = np.empty((batch.num_rows, _FIELDS), np.uint64)
             t[:, :4] = np.frombuffer(b"".join(batch.column("digest").to_pylist()), ">u8").reshape(-1, 4)
-            for i, c in ((4, "check"), (5, "size"), (6, "id"), (7, "row")):
-                col = batch.column(c)
-                if c == "id":
-                    col = col.fill_null(_NO_ID if largest else -1 - _NO_ID)
-                t[:, i] = col.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            t[:, 8] = 1
-            held.append((int(batch.column("part")[0].as_py()), t))
-            size += len(t)
-            if size >= RUN_ROWS:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
+            for i, c in ((4, "check"), (5, "size"), (_ID, "id"), (_ROW, "row")):
+                t[:, i] = batch.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            t[:, _KNOWN], t[:, _COUNT] = batch.column("id").is_valid().to_numpy(zero_copy_only=False), 1
+            parts = batch.column("part").to_numpy()
+            for part in np.unique(parts).tolist():
+                held.setdefault(part, []).append(t[parts == part])
+                if sum(map(len, held[part])) >= RUN_ROWS:
+                    yield out(part)
+        for part in list(held):
+            yield out(part)
+        release()
 
     return run
 
 
 def _round(largest: bool, level: int, rounds: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        table = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, _FIELDS) for x in group["rows"]])
-        number, prefix, rows = int(group["run"].iloc[0]), int(group["prefix"].iloc[0]), merge(table, largest)
-        out = pieces(number, prefix, rows, level) if level < rounds else [(number, prefix, rows.tobytes())]
-        return pd.DataFrame(out, columns=["run", "prefix", "rows"])
+    def run(group: pa.Table) -> pa.Table:
+        runs = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, _FIELDS) for x in group.column("rows")]
+        number, prefix = group.column("run")[0].as_py(), group.column("prefix")[0].as_py()
+        return pa.Table.from_batches([_batch(pieces(number, prefix, merge(runs, largest), level, rounds))])
 
     return run
 
 
-def _unpack(largest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                t = np.frombuffer(raw, np.uint64).reshape(-1, _FIELDS)
-                t = t[t[:, 8] > 1]
-                ids = t[:, 6].view(np.int64)
-                digests = np.ascontiguousarray(t[:, :4]).astype(">u8").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([digests[i : i + 32] for i in range(0, len(digests), 32)], pa.binary()),
-                        pa.array(np.ascontiguousarray(t[:, 4]).view(np.int64)),
-                        pa.array(np.ascontiguousarray(t[:, 5]).view(np.int64)),
-                        pa.array(np.ascontiguousarray(ids), mask=np.ascontiguousarray(ids == (_NO_ID if largest else -1 - _NO_ID))),
-                        pa.array(np.ascontiguousarray(t[:, 7]).view(np.int64)),
-                        pa.array(np.ascontiguousarray(t[:, 8]).view(np.int64)),
-                    ],
-                    names=["digest", "check", "size", "keep_id", "keep_row", "group_size"],
-                )
-
-    return run
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column(0):
+            t = np.frombuffer(raw.as_buffer(), np.uint64).reshape(-1, _FIELDS)
+            t = t[t[:, _COUNT] > 1]
+            digests = np.ascontiguousarray(t[:, :4]).astype(">u8").tobytes()
+            numbers = [pa.array(np.ascontiguousarray(t[:, i]).view(np.int64), mask=t[:, _KNOWN] == 0 if i == _ID else None) for i in (4, 5, _ID, _ROW, _COUNT)]
+            yield pa.RecordBatch.from_arrays([pa.array([digests[i : i + 32] for i in range(0, len(digests), 32)], pa.binary()), *numbers], names=["digest", "check", "size", "keep_id", "keep_row", "group_size"])
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -136,15 +158,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.xxhash64("t").alias("check"),
         F.octet_length("t").cast("bigint").alias("size"),
     )
-    table = stage(rows, "digests")
-    parts = table.rdd.getNumPartitions()
-    rounds = math.ceil(math.log(max(parts, 1), 1 << RADIX_BITS))
-    level = table.withColumn("part", F.spark_partition_id().cast("bigint")).mapInArrow(_runs(largest, rounds), _RUN)
+    # numbers of rows and partitions are stored with the digests: later scans may be split otherwise
+    table = stage(rows.withColumn("part", F.spark_partition_id().cast("bigint")), "digests")
+    rounds = int(table.agg(F.coalesce(F.max("part"), F.lit(0)).alias("n")).first()["n"]).bit_length()
+    level = table.mapInArrow(_runs(largest, rounds), _RUN)
     for k in range(1, rounds + 1):
-        level = level.groupBy("run", "prefix").applyInPandas(_round(largest, k, rounds), _RUN)
+        level = level.groupBy("run", "prefix").applyInArrow(_round(largest, k, rounds), _RUN)
     if not rounds:
-        level = level.groupBy("run", "prefix").applyInPandas(_round(largest, 0, 0), _RUN)
-    repeated = level.select("rows").mapInArrow(_unpack(largest), "digest binary, check bigint, size bigint, keep_id bigint, keep_row bigint, group_size bigint")
+        level = level.groupBy("run", "prefix").applyInArrow(_round(largest, 0, 0), _RUN)
+    repeated = level.select("rows").mapInArrow(_unpack, "digest binary, check bigint, size bigint, keep_id bigint, keep_row bigint, group_size bigint")
     joined = table.join(stage(repeated, "repeated"), ["digest", "check", "size"], "left")
     alone = F.col("group_size").isNull()
     return joined.select(

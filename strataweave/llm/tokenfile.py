@@ -4,7 +4,8 @@ A flat token file is a run of little-endian ids of fixed width, each document cl
 id, with no index. It is scanned in blocks that know nothing of documents: in each, one vectorised comparison
 finds the separators. A prefix scan over the blocks' summaries then stitches documents that span blocks: the
 running sum of separators numbers the documents, the running maximum of separator positions gives each
-block's first document its start.
+block's first document its start. The scan has two levels: inside ranges of SPAN blocks, and over the ranges' totals, so a
+file of any size is scanned by many tasks.
 
 Blocks come from a table of blocks (:func:`write`) or from binary files (:func:`blocks_of_files`).
 """
@@ -19,9 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataweave.llm.bpe import text_slices, vocabulary
+from strataweave.llm.common import release, stage
 
 #: Ids in one block.
 BLOCK = 1 << 16
+#: Blocks in a range of the scan.
+SPAN = 1024
 #: Bytes of one id by the file's width.
 WIDTHS = {2: "<u2", 4: "<u4"}
 
@@ -51,6 +55,7 @@ def _writer(path: str, end: int, width: int, block: int):
                     held, size, number = [whole[block:]], size - block, number + 1
         if size:
             yield row(file=file, block=number, tokens=np.concatenate(held).tobytes(), first=None, ids=None)
+        release()
 
     return run
 
@@ -60,7 +65,8 @@ def write(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col
 
     Rows with ``tokens`` are a file's blocks ``(file, block, tokens binary)``; the others say which document
     each ordinal of a file is: ``(file, first, ids array<bigint>)``. Strings of special tokens are encoded as
-    ordinary text, so ``end`` stands between documents only. Null and empty texts are documents of no tokens.
+    ordinary text, so ``end`` stands between documents only. Null and empty texts are documents of no tokens; repeated rows and
+    null ids are documents of their own. An empty table gives no rows.
     """
     highest = max(int(vocabulary(path).ids.max()), end)
     if highest >= 1 << (8 * width):
@@ -97,23 +103,31 @@ def _scan(end: int, width: int):
     return run
 
 
-def token_counts(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:
+def token_counts(blocks: DataFrame, end: int, width: int = 2, span: int = SPAN) -> DataFrame:
     """``(file, ordinal bigint, n_tokens bigint)``: the length of each document, separators not counted.
 
     Documents are numbered from 0 in their file. Tokens after a file's last separator are a document that
     isn't closed; a file that ends with a separator has none. Empty documents count 0. Blocks with null
     ``tokens`` and other columns are passed over; ``file`` may be of any type, ``block`` orders its blocks. A
-    block repeated in the table would count twice. No blocks give no rows. The scan over a file's blocks
-    sorts summaries of a few numbers, one for each block.
+    block repeated in the table would count twice. No blocks give no rows.
     """
     kind = dict(blocks.dtypes)["file"]
     summary = blocks.where("tokens is not null").select("file", "block", "tokens").mapInArrow(_scan(end, width), f"file {kind}, block bigint, n bigint, ends array<int>")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    place = summary.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    place = place.withColumn("last", F.col("base") + F.get("ends", F.size("ends") - 1)).withColumn("number", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-    place = place.withColumn("open", F.coalesce(F.max("last").over(before), F.lit(-1)))
-    tail = Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    place = place.withColumn("final", F.count("*").over(tail) == 0)
+    before = Window.partitionBy("file", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = summary.withColumn("span", F.floor(F.col("block") / span)).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inner = inner.withColumn("last", F.col("base") + F.get("ends", F.size("ends") - 1)).withColumn("number", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
+    inner = stage(inner.withColumn("open", F.max("last").over(before)), "block-places")
+    spans = inner.groupBy("file", "span").agg(F.sum("n").alias("n"), F.sum(F.size("ends")).alias("ends"), F.max("last").alias("last"), F.max("block").alias("top"))
+    # one short row for each range of a file
+    earlier = Window.partitionBy("file").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("from", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("docs", F.coalesce(F.sum("ends").over(earlier), F.lit(0)))
+    spans = spans.withColumn("left", F.coalesce(F.max(F.col("from") + F.col("last")).over(earlier), F.lit(-1)))
+    spans = spans.withColumn("ahead", F.lead("span").over(Window.partitionBy("file").orderBy("span")))
+    spans = stage(spans.select("file", "span", "from", "docs", "left", F.when(F.col("ahead").isNull(), F.col("top")).alias("final")), "block-spans")
+    place = inner.join(spans, ["file", "span"]).select(
+        "file", "block", "n", "ends", (F.col("base") + F.col("from")).alias("base"), (F.col("last") + F.col("from")).alias("last"), (F.col("number") + F.col("docs")).alias("number"),
+        F.coalesce(F.col("open") + F.col("from"), F.col("left")).alias("open"), F.coalesce(F.col("block") == F.col("final"), F.lit(False)).alias("final"),
+    )
     closed = place.where(F.size("ends") > 0).select(
         "file",
         F.posexplode(
@@ -127,6 +141,6 @@ def token_counts(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:
 
 
 def document_ids(table: DataFrame) -> DataFrame:
-    """``(file, ordinal, id)`` of what :func:`write` gave."""
+    """``(file, ordinal, id)`` of what :func:`write` gave: one row for each row written, null ids and all; none of an empty table."""
     rows = table.where("ids is not null").select("file", "first", F.posexplode("ids").alias("i", "id"))
     return rows.select("file", (F.col("first") + F.col("i")).alias("ordinal"), "id")

@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import word_hashes
+from strataweave.llm.common import release, word_hashes
 
 #: Bytes of text that are cut into pre-tokens at once; longer single texts make longer slices.
-SLICE_BYTES = 4 << 20
-#: Distinct pre-tokens a worker remembers before it starts anew.
-REMEMBERED = 700_000
+SLICE_BYTES = 1 << 20
+#: Distinct pre-tokens, and tokens of theirs, that a worker remembers before it starts anew: some 50 MB.
+REMEMBERED, REMEMBERED_TOKENS = 300_000, 2_000_000
+#: Pairs of tokens whose compatibility a worker remembers: some 30 MB.
+PAIRS = 250_000
 
 WHITE, LETTER, NUMBER, OTHER = range(4)
 #: The code points with the Unicode property White_Space.
@@ -104,7 +106,7 @@ class Vocabulary:
         self.blob = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(size)), np.uint8)
         self.lengths = np.array([len(pieces.get(i, b"")) for i in range(size)], np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -114,11 +116,11 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether tokens ``a`` and ``b`` can stand side by side in an encoding."""
-        known = self._compatible.get((a, b))
+        known = self._compatible.get(pair := a << 32 | b)
         if known is None:
-            if len(self._compatible) > 1_000_000:
+            if len(self._compatible) >= PAIRS:
                 self._compatible.clear()
-            known = self._compatible[a, b] = self._border(a, b)
+            known = self._compatible[pair] = self._border(a, b)
         return known
 
     def _border(self, a: int, b: int) -> bool:
@@ -176,7 +178,7 @@ class Vocabulary:
         starts, ends = pre_tokens(data, bounds)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
-        if self._used > REMEMBERED:
+        if self._used > REMEMBERED or self._filled > REMEMBERED_TOKENS:
             self._forget()
         keys, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         a, b, get, learn = starts[first].tolist(), ends[first].tolist(), self._slots.get, self._learn
@@ -303,6 +305,7 @@ def encoder(path: str, specials: bool = True, decode: bool = True):
                         whole = pa.array([bytes(raw[ends[a] : ends[b]]).decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])], pa.large_string())
                     out.append(whole.cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=["id", "ids", "decoded"][: len(out)])
+        release()
 
     return run
 

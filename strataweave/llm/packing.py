@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.bpe import text_slices, vocabulary
-from strataweave.llm.common import stage
+from strataweave.llm.common import release, stage
 
 LENGTH = 2048
 #: Pieces packed together, on average.
@@ -97,6 +97,7 @@ def _pieces(path: str, end: int, length: int):
                 cols = [pa.array(part + number + np.arange(len(doc))), owner, *(pa.array(np.asarray(x, np.int64)) for x in (start, size, crc, sizes[doc]))]
                 number += len(doc)
                 yield pa.RecordBatch.from_arrays(cols, names=["piece", "id", "start", "length", "ids_crc32", "doc_tokens"])
+        release()
 
     return run
 

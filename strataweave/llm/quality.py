@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.bpe import text_slices
-from strataweave.llm.common import nullable, run_hashes, word_bounds, word_hashes
+from strataweave.llm.common import nullable, release, run_hashes, word_bounds, word_hashes
 
 #: Labelled rows that the forest and its threshold are fitted on, at most.
 SAMPLE = 4000
@@ -62,20 +62,10 @@ def statistics(data: bytes) -> tuple[int, int, int, int, int, int]:
     return n, chars, symbols, len(lines), len(lines) - len(set(lines)), repeat
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, to, data, bounds in text_slices(batch, 1):
-            found = np.array([statistics(data[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], np.int64).reshape(-1, len(STATS))
-            cols = [nullable(batch.column(i).slice(at, to - at)) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*cols[:1], *cols[2:], *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(STATS)))], names=[*batch.schema.names[:1], *batch.schema.names[2:], *STATS])
-
-
-def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: F.Column | None = None) -> DataFrame:
-    """``(id, STATS)`` for each row of ``docs``, with ``row`` as a further column if given; null counts as empty."""
-    cols = [F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")]
-    rows = docs.select(*cols, *([row.alias("row")] if row is not None else []))
-    kind = f"row {rows.schema['row'].dataType.simpleString()}, " if row is not None else ""
-    return rows.mapInArrow(_statistics, f"id bigint, {kind}" + ", ".join(f"{s} bigint" for s in STATS))
+def batch_statistics(batch: pa.RecordBatch, column: int) -> dict[str, np.ndarray]:
+    """STATS of each text of a string column, as arrays."""
+    found = [statistics(data[a:b]) for _, _, data, bounds in text_slices(batch, column) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return dict(zip(STATS, np.ascontiguousarray(np.array(found, np.int64).reshape(-1, len(STATS)).T), strict=True))
 
 
 def features(stats: dict[str, np.ndarray]) -> np.ndarray:
@@ -199,31 +189,59 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("id"), "id")
         .limit(sample)
     )
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")  # at most ``sample`` rows
-    rows = rule_statistics(texts, "id", "text", F.col("quality").cast("int")).orderBy(F.xxhash64("id"), "id").limit(2 * sample).toPandas()
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")  # at most ``sample`` rows
+    # rows of one id and label are pooled to their least statistics, so the driver gets ``sample`` rows at most
+    rows = texts.select("id", "text", "quality").mapInArrow(_sampled, "id bigint, quality int, " + ", ".join(f"{s} bigint" for s in STATS))
+    rows = rows.groupBy("id").agg(F.min(F.struct(*STATS, "quality")).alias("x")).select("id", "x.*").orderBy("id").toPandas()
     stats = {s: rows[s].to_numpy() for s in STATS}
     use = ~base_failed(stats) if len(rows) else np.zeros(0, bool)
-    return fit(features(stats)[use], rows["row"].to_numpy()[use] == 1) if use.any() else None
+    return fit(features(stats)[use], rows["quality"].to_numpy()[use] == 1) if use.any() else None
 
 
-def _judge(model: Model | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats = {s: batch.column(s).to_numpy() for s in STATS}
-            failed = base_failed(stats)
-            odd = model.odd(features(stats)) if model and len(failed) else np.zeros(len(failed), bool)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(failed), pa.array(~failed & ~odd)], names=[*batch.schema.names, "base_failed", "kept"])
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        stats = batch_statistics(batch, 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), *map(pa.array, stats.values())], names=["id", "quality", *STATS])
+    release()
+
 
-    return run
+def _verdicts(model: Model | None, stats: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows fail the base rule, and which are kept."""
+    failed = base_failed(stats)
+    odd = model.odd(features(stats)) if model and len(failed) else np.zeros(len(failed), bool)
+    return failed, ~failed & ~odd
 
 
-def judge(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", row: F.Column | None = None) -> DataFrame:
-    """``(id[, row], STATS, base_failed, kept)`` for each row of ``docs``, in one pass without a shuffle.
+def judge(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, STATS, base_failed, kept)`` for each row of ``docs``, in one pass without a shuffle.
 
     ``kept`` is false where the base rule fails (under MIN_WORDS words, or more than MAX_REPEAT percent of them in
     repeated runs of three) or the forest finds the statistics odd; without a model the base rule decides. Null
-    and empty texts fail. Null and repeated ids and rows are carried; an empty table gives no rows.
+    and empty texts fail. Null and repeated ids and rows are carried; other columns aren't read; an empty table gives no rows.
     """
-    stats = rule_statistics(docs, id_col, text_col, row)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", base_failed boolean, kept boolean"
-    return stats.mapInArrow(_judge(model), schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = batch_statistics(batch, 1)
+            failed, kept = _verdicts(model, stats)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (*stats.values(), failed, kept))], names=["id", *STATS, "base_failed", "kept"])
+        release()
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id bigint, " + ", ".join(f"{s} bigint" for s in STATS) + ", base_failed boolean, kept boolean")
+
+
+def keep(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, all columns as they are: each text goes to Python and back once.
+
+    Columns may have any name; null and empty texts fail; repeated rows are judged alike; an empty table gives no rows.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(_verdicts(model, batch_statistics(batch, at))[1]))
+            yield pa.RecordBatch.from_arrays([nullable(c) for c in part.columns], names=part.schema.names)
+        release()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.llm import bpe, exact, html, lines, packing, quality, simhash, substring, tokenfile, urls
 from strataweave.llm.common import stage
 
-#: Where the public tokenizers' files lie; a parameter of every operator that uses one.
-TOKENIZER = str(Path("/opt/tokenizers/byte_bpe_50k.json"))
+#: A public tokenizer's file; a parameter of every operator that uses one.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_OF_DOCUMENT = 50256
 PACK_END = 1
 
@@ -58,7 +58,7 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), equal_words=1)
+    found = lines.line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), "n_lines", F.size("dropped").cast("bigint").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"))
 
 

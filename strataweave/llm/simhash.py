@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.bpe import text_slices
-from strataweave.llm.common import components, stage
+from strataweave.llm.common import components, release, stage
 
 RADIUS = 2
 #: Fingerprints compared with each other in one bucket at most.
@@ -77,6 +77,7 @@ def _fingerprints(shingle: int, seed: int):
             for at, to, data, bounds in text_slices(batch, 1):
                 found = np.array([fingerprint(data[a:b], shingle, seed) for a, b in zip(bounds, bounds[1:])], np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(found.view(np.int64))], names=["id", "fp"])
+        release()
 
     return run
 
@@ -147,5 +148,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = roots.join(by_fp.withColumnRenamed("fp", "node"), "node")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component"))
     named = roots.join(lowest, "root").select(F.col("node").alias("fp"), "component")
-    classes = by_fp.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component"))
+    # staged, so that the join's sides are plain exchanges: Spark splits a fingerprint of many copies only then
+    classes = stage(by_fp.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component")), "classes")
     return marked.join(classes, "fp").select("id", "fp", "component")

@@ -11,6 +11,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from strataweave.llm import bpe, exact, lines, packing, quality, queries, simhash, substring, tokenfile
+from strataweave.llm.common import stage
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -148,8 +149,8 @@ def test_token_counts_of_files(spark, tmp_path):
     for name, ids in {"a": [1, 2, 9, 9, 3, 4, 5, 6, 7, 8, 9, 1], "b": [9], "c": [5, 5]}.items():
         (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
     (tmp_path / "d").write_bytes(b"")
-    for block in (1, 2, 5, 100):
-        got = tokenfile.token_counts(tokenfile.blocks_of_files(spark, str(tmp_path), block=block), 9).collect()
+    for block, span in ((1, 1), (1, 3), (2, 2), (5, 1024), (100, 1)):
+        got = tokenfile.token_counts(tokenfile.blocks_of_files(spark, str(tmp_path), block=block), 9, span=span).collect()
         assert sorted((r["file"][-1], r["ordinal"], r["n_tokens"]) for r in got) == [("a", 0, 2), ("a", 1, 0), ("a", 2, 6), ("a", 3, 1), ("b", 0, 0), ("c", 0, 2)]
 
 
@@ -171,9 +172,9 @@ def brute_repeats(rows, window=13):
     return Counter((d, *o) for (d, _), o in zip(rows, out, strict=True))
 
 
-@pytest.mark.parametrize("chunk", [1, 4000, substring.CHUNK_BYTES])
-def test_substring(docs, chunk):
-    got = substring.repeated_passages(docs, chunk_bytes=chunk, carry=["n_chars", "text"]).collect()
+@pytest.mark.parametrize(("chunk", "spread", "hot"), [(1, 1 << 20, 3), (4000, 20_000, 1), (4000, 20_000, 64), (substring.CHUNK_BYTES, substring.RANGE_BYTES, substring.HOT)])
+def test_substring(docs, chunk, spread, hot):
+    got = substring.repeated_passages(docs, chunk_bytes=chunk, carry=["n_chars", "text"], range_bytes=spread, hot=hot).collect()
     assert Counter((r["id"], r["n_words"], sum(s["length"] for s in r["spans"]), r["kept_text"]) for r in got) == brute_repeats(pairs(docs))
     for r in got:
         assert WORD.findall(r["cut_text"]) == WORD.findall(r["kept_text"])
@@ -219,52 +220,75 @@ def levenshtein(a, b):
 
 
 def normal(line):
-    return re.sub(r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ", line.lower().strip(" "))
-
-
-@pytest.mark.parametrize("wide", [lines.WIDE, 300])
-def test_lines(spark, awkward, monkeypatch, wide):
-    monkeypatch.setattr(lines, "WIDE", wide)
+    return re.sub(r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ", line.lower()).strip(" ")
+
+
+def mur(word):
+    """Spark's hash of a string: Murmur3 over the UTF-8 bytes, the last ones one by one."""
+    m = 0xFFFFFFFF
+    rot = lambda x, r: ((x << r) | (x >> (32 - r))) & m
+    data, h = word.encode(), 42
+    whole = len(data) // 4 * 4
+    for k in [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)] + [(b - 256 if b > 127 else b) & m for b in data[whole:]]:
+        h = (rot(h ^ (rot(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m), 13) * 5 + 0xE6546B64) & m
+    h ^= len(data)
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & m
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & m
+    return h ^ (h >> 16)
+
+
+def brute_dropped(rows):
+    """(row, line) of every line that isn't the first of its group; rows are (id, text) in their order of precedence."""
+    found = [(k, p, normal(x)) for k, (_, t) in enumerate(rows) for p, x in enumerate((t or "").split("\n"))]
+    found = [x for x in found if x[2]]
+    words = {x: sorted({((15 - min(len(w), 15)) << 27) | (mur(w) & ((1 << 27) - 1)) for w in x.split(" ")})[: lines.WORDS] for _, _, x in found}
+    words = {x: w if len(w) >= lines.MIN_WORDS else [] for x, w in words.items()}
+    slots = Counter(h % lines.SLOTS for hs in words.values() for h in hs)
+    most = max(slots.values(), default=1)
+    keys = {}
+    for x, hs in words.items():
+        tops = sorted(((slots[h % lines.SLOTS] * lines.COMMON // most).bit_length() << 32) + (h % (1 << 27)) * 32 + (h >> 27) for h in hs)[: lines.TOPS]
+        keys[x] = {(a, b) for i, a in enumerate(tops) for b in tops[i + 1 : i + 3]}
+    distinct = sorted(words)
+    root = {x: x for x in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(distinct):
+        for y in distinct[:i]:
+            longest = max(len(x), len(y))
+            if not keys[x] & keys[y] or min(len(x), len(y)) < 0.8 * longest or len(set(words[x]) & set(words[y])) < max(3, -(-min(len(words[x]), len(words[y])) // 2)):
+                continue
+            v, w = x.split(" "), y.split(" ")
+            moved, most = levenshtein(v, w), max(len(v), len(w))
+            if moved <= 0.5 * most and (moved <= 0.25 * most if longest > lines.LONG else levenshtein(x, y) <= 0.2 * longest):
+                root[find(x)] = find(y)
+    first, gone = {}, set()
+    for k, p, x in found:
+        if first.setdefault(find(x), (k, p)) != (k, p):
+            gone.add((k, p))
+    return gone
+
+
+@pytest.mark.parametrize("bucket", [lines.BUCKET, 1])
+def test_lines(spark, docs, monkeypatch, bucket):
+    monkeypatch.setattr(lines, "BUCKET", bucket)
     base = "this is a long enough line that is shared by documents number " + " ".join(f"word{i}" for i in range(400))
     near = base.replace("shared", "sharet")
-    rows = [(1, f"{base}\nkeep me as i am here"), (2, f"{near}\nshort line\nshort line"), (3, f"x\n{base.upper()}\nother line with six words here"), (None, base), (4, None), (5, "")]
-    docs = awkward.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string")).repartition(3)
-    docs.write.mode("overwrite").parquet(path := lines.__name__ and f"{lines_dir()}/docs")
-    docs = spark.read.parquet(path)
-    rows = [(d, t) for d, t in pairs(docs)]
-    got = Counter((r["doc_id"], r["text"]) for r in lines.dedup_lines(docs).collect())
-    found = []  # (late, id, row, pos, line, fp)
-    for k, (d, t) in enumerate(rows):
-        for p, x in enumerate((t or "").split("\n")):
-            w = normal(x).split(" ")
-            if len(w) >= 5:
-                h = [xxhash.xxh64_intdigest(y.encode(), 42) for y in set(w)]
-                found.append((d is None, d if d is not None else 0, k, p, normal(x), sum(1 << b for b in range(64) if 2 * sum(y >> b & 1 for y in h) > len(h))))
-    found.sort()
-    root = list(range(len(found)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(found):
-        for j, b in enumerate(found[:i]):
-            if a[4] == b[4] or (a[5] ^ b[5]).bit_count() <= 2 and levenshtein(a[4], b[4]) <= 0.2 * max(len(a[4]), len(b[4])):
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    gone = {(a[2], a[3]) for i, a in enumerate(found) if find(i) != i}
+    rows = [(1001, f"{base}\nkeep me as i am here"), (1002, f"{near}\nshort line\nshort line"), (1003, f"x\n{base.upper()}\nother line with six words here\nx"), (None, base), (1004, None), (1005, "")]
+    rows += [(1100 + i, f"alpha beta gamma delta {'abcdefgh'[i] * 3} epsilon zeta eta\ncommon start of a line that ends in {i * 'y'}{i * 'z'} of its own") for i in range(8)]
+    docs = stage(docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string")).repartition(3), "t")
+    rows = sorted(pairs(docs), key=lambda r: (r[0] is None, r[0] or 0))
+    gone = brute_dropped(rows)
     want = Counter((d, None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (k, p) not in gone)) for k, (d, t) in enumerate(rows))
-    # rows that are wholly equal can stand for each other
-    assert got == want
-    assert any("word399" in (t or "") for _, t in got)
-    assert sum((t or "").lower().count("word399") for _, t in got) == 1
-
-
-def lines_dir():
-    import tempfile
-
-    return tempfile.mkdtemp()
+    # rows of one id can stand for each other if their texts are equal
+    assert Counter(pairs(lines.dedup_lines(docs))) == want
+    report = Counter((d, 0 if t is None else t.count("\n") + 1, tuple(p for p in range((t or "").count("\n") + 1) if (k, p) in gone)) for k, (d, t) in enumerate(rows))
+    assert Counter((r["id"], r["n_lines"], tuple(r["dropped"])) for r in lines.line_report(docs).collect()) == report
+    assert sum((t or "").lower().count("word399") for _, t in want.elements()) == 1
 
 
 def test_packing(docs):

@@ -204,7 +204,7 @@ def _cols(*names: Column | str) -> list[Column]:
 
 
 def log_marginal(prior: NIW, n: Column | str = "n", mean: Column | str = "mean", scatter: Column | str = "scatter") -> Column:
-    """ln marginal of the block's data, one to three dimensions."""
+    """ln marginal of the block's data."""
     n, mean, scatter = _cols(n, mean, scatter)
     d = prior.d
     kappa, _, psi, nu = _posterior(prior, n, mean, scatter)
@@ -212,6 +212,19 @@ def log_marginal(prior: NIW, n: Column | str = "n", mean: Column | str = "mean",
     return n * (-0.5 * d * math.log(math.pi)) - 0.5 * d * F.ln(kappa) + multiloggamma(nu / 2, d) - 0.5 * nu * logdet(psi) + fixed
 
 
+def without(d: int, whole: tuple[Column | str, ...] = ("n", "mean", "scatter"), part: tuple[Column | str, ...] = ("n2", "m2", "s2")) -> Column:
+    """Moments of ``whole`` with ``part`` of it taken away, as a struct n, mean, scatter; null where more is taken than was there."""
+    n1, m1, s1 = _cols(*whole)
+    n2, m2, s2 = (F.coalesce(c, empty) for c, empty in zip(_cols(*part), (F.lit(0), F.array(*[F.lit(0.0)] * d), F.array(*[F.lit(0.0)] * d * d)), strict=True))
+    n = n1 - n2
+    safe = F.when(n > 0, n).otherwise(F.lit(1))
+    mean = [(n1 * F.get(m1, F.lit(i)) - n2 * F.get(m2, F.lit(i))) / safe for i in range(d)]
+    gap = [F.get(m2, F.lit(i)) - mean[i] for i in range(d)]
+    scatter = [F.get(s1, F.lit(i * d + j)) - F.get(s2, F.lit(i * d + j)) - gap[i] * gap[j] * n * n2 / n1 for i in range(d) for j in range(d)]
+    zero = lambda x: F.when(n > 0, x).otherwise(F.lit(0.0))
+    return F.when(n >= 0, F.struct(n.alias("n"), F.array(*map(zero, mean)).alias("mean"), F.array(*map(zero, scatter)).alias("scatter")))
+
+
 def expectation(prior: NIW, n: Column | str = "n", mean: Column | str = "mean", scatter: Column | str = "scatter") -> Column:
     """The expected component as a struct mean, cov; null where nu - d - 1 isn't positive."""
     _, mu, psi, nu = _posterior(prior, *_cols(n, mean, scatter))

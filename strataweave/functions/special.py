@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,8 +46,30 @@ def factorial(n: Column | str) -> Column:
 
 
 def logdet(m: list[list[Column]]) -> Column:
-    """ln of the determinant of a positive definite matrix of one to three rows, in closed form."""
-    return F.ln(det(m))
+    """ln of the determinant of a positive definite matrix: in closed form up to three rows, beyond by Arrow batches."""
+    if len(m) <= 3:
+        return F.ln(det(m))
+    d = len(m)
+
+    @F.pandas_udf("double")
+    def batch(cells: pd.Series) -> pd.Series:
+        return _by_batch(lambda x: np.linalg.slogdet(x)[1], d, cells)
+
+    return batch(_flat(m))
+
+
+def _flat(m: list[list[Column]]) -> Column:
+    return F.array(*[x.cast("double") for row in m for x in row])
+
+
+def _by_batch(f, d: int, cells: pd.Series, *vectors: pd.Series) -> pd.Series:
+    """``f`` of the matrices, and vectors, of the rows that have them whole; null elsewhere."""
+    whole = [x is not None and not pd.isna(x).any() and all(v.iloc[i] is not None and not pd.isna(v.iloc[i]).any() for v in vectors) for i, x in enumerate(cells)]
+    out = np.full(len(cells), np.nan)
+    if any(whole):
+        take = np.flatnonzero(whole)
+        out[take] = f(np.stack(cells.iloc[take].to_numpy()).astype(float).reshape(-1, d, d), *(np.stack(v.iloc[take].to_numpy()).astype(float) for v in vectors))
+    return pd.Series(out).replace({np.nan: None}) if len(out) and not all(whole) else pd.Series(out)
 
 
 def det(m: list[list[Column]]) -> Column:
@@ -60,10 +84,17 @@ def det(m: list[list[Column]]) -> Column:
 
 
 def quadratic(m: list[list[Column]], v: list[Column]) -> Column:
-    """v' inverse(m) v, from cofactors, for one to three dimensions."""
+    """v' inverse(m) v: from cofactors up to three dimensions, beyond by Arrow batches."""
     d = len(v)
     if d == 1:
         return v[0] * v[0] / m[0][0]
+    if d > 3:
+
+        @F.pandas_udf("double")
+        def batch(cells: pd.Series, vectors: pd.Series) -> pd.Series:
+            return _by_batch(lambda x, y: (y * np.linalg.solve(x, y[..., None])[..., 0]).sum(axis=1), d, cells, vectors)
+
+        return batch(_flat(m), F.array(*[x.cast("double") for x in v]))
     out = F.lit(0.0)
     for i in range(d):
         for j in range(d):
@@ -118,6 +149,26 @@ def inverse_cdf(ps: Column | str, u: Column | str | float) -> Column:
     return F.coalesce(F.get(hits, F.lit(0)), F.size(ps) - 1)
 
 
+def seeded_unit(seed: int, *keys: Column | str) -> Column:
+    """A number in (0, 1) that depends on ``seed`` and the keys alone: the same in every run and partition."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def sample(ps: Column | str, seed: int, *keys: Column | str) -> Column:
+    """A category of each row by its probabilities; one seed and key give one draw."""
+    return inverse_cdf(ps, seeded_unit(seed, *keys))
+
+
+def sample_uniform(n: int, seed: int, *keys: Column | str) -> Column:
+    """A category below ``n`` of each row, all alike."""
+    return F.least(F.floor(seeded_unit(seed, *keys) * n).cast("int"), F.lit(n - 1))
+
+
+def round_vector(xs: Column | str, digits: int = 0) -> Column:
+    """An array of numbers, or of rows of numbers joined, each rounded half up."""
+    return F.transform(_col(xs), lambda x: round_half_up(x, digits))
+
+
 def remove_at(xs: Column, i: int) -> Column:
     return F.concat(F.slice(xs, 1, i), F.slice(xs, i + 2, F.greatest(F.size(xs) - i - 1, F.lit(0))))
 

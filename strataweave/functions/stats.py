@@ -14,12 +14,10 @@ def weighted_mean(x: str, w: str) -> Column:
 
 
 def weighted_covariance(df: DataFrame, x: str, y: str, w: str, name: str = "weighted_cov") -> DataFrame:
-    """sum w (x - mean x)(y - mean y) / sum w, the means unweighted: one pass over raw sums about them."""
-    row = df.agg(
-        F.avg(x).alias("mx"), F.avg(y).alias("my"), F.sum(w).alias("sw"),
-        F.sum(F.col(w) * F.col(x)).alias("sx"), F.sum(F.col(w) * F.col(y)).alias("sy"), F.sum(F.col(w) * F.col(x) * F.col(y)).alias("sxy"),
-    )
-    return row.select(((F.col("sxy") - F.col("mx") * F.col("sy") - F.col("my") * F.col("sx") + F.col("mx") * F.col("my") * F.col("sw")) / F.col("sw")).alias(name))
+    """sum w (x - mean x)(y - mean y) / sum w, the means unweighted: they are taken first, so nothing cancels."""
+    means = df.agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"))
+    both = df.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(w).alias("__w")).crossJoin(F.broadcast(means))  # one row
+    return both.agg((F.sum(F.col("__w") * (F.col("__x") - F.col("__mx")) * (F.col("__y") - F.col("__my"))) / F.sum("__w")).alias(name))
 
 
 def covariance_matrix(df: DataFrame, d: int, x: str = "x", mode: list[float] | None = None, constraint: str = "none", digits: int | None = 8) -> DataFrame:
@@ -40,18 +38,15 @@ def covariance_matrix(df: DataFrame, d: int, x: str = "x", mode: list[float] | N
 
 def weighted_covariance_matrix(df: DataFrame, d: int, w: str, x: str = "x", mode: list[float] | None = None, constraint: str = "none") -> DataFrame:
     """As :func:`covariance_matrix` with weights, over their sum."""
+    if constraint not in ("none", "independent", "independant"):
+        raise ValueError("constraint is 'none' or 'independent'")
     diagonal = constraint != "none"
-    e = [F.get(F.col(x), F.lit(i)) for i in range(d)]
-    sums = [F.sum(w).alias("sw"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(e)], *[F.sum(F.col(w) * v).alias(f"s{i}") for i, v in enumerate(e)]]
-    sums += [F.sum(F.col(w) * e[i] * e[j]).alias(f"s{i}_{j}") for i in range(d) for j in range(i, d)]
-    c = [F.col(f"m{i}") if mode is None or diagonal else F.lit(float(mode[i])) for i in range(d)]
-
-    def cell(i: int, j: int) -> Column:
-        if diagonal and i != j:
-            return F.lit(0.0)
-        return (F.col(f"s{min(i, j)}_{max(i, j)}") - c[i] * F.col(f"s{j}") - c[j] * F.col(f"s{i}") + c[i] * c[j] * F.col("sw")) / F.col("sw")
-
-    return df.agg(*sums).select(F.array(*[cell(i, j) for i in range(d) for j in range(d)]).alias("cov"))
+    rows = df.select(F.col(x).alias("__x"), F.col(w).alias("__w"))
+    centre = F.array(*[F.avg(F.get("__x", F.lit(i))) if mode is None or diagonal else F.lit(float(mode[i])) for i in range(d)])
+    both = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__n"), centre.alias("__c"))))  # one row
+    gap = [F.get("__x", F.lit(i)) - F.get("__c", F.lit(i)) for i in range(d)]
+    cell = lambda i, j: F.sum(F.col("__w") * gap[i] * gap[j]) / F.sum("__w") if i == j or not diagonal else F.lit(0.0)
+    return both.agg(F.array(*[cell(i, j) for i in range(d) for j in range(d)]).alias("cov"))
 
 
 def vector_mean(df: DataFrame, d: int, x: str = "x", *keys: str) -> DataFrame:

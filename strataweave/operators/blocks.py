@@ -7,8 +7,11 @@ absent rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataweave.functions import niw
@@ -78,13 +81,46 @@ def components(stats: DataFrame, prior: NIW) -> DataFrame:
     return stats.select(*keys, e["mean"].alias("mean"), e["cov"].alias("cov"))
 
 
+def priors_table(spark: SparkSession, priors: dict[int, NIW], item: str = "col_id") -> DataFrame:
+    """``(item, prior struct<mu, kappa, psi, nu>)``, one row for each prior."""
+    rows = [(int(i), (p.mu.tolist(), float(p.kappa), p.psi.ravel().tolist(), int(p.nu))) for i, p in priors.items()]
+    return spark.createDataFrame(rows, f"{item} int, prior struct<mu: array<double>, kappa: double, psi: array<double>, nu: int>")
+
+
 def components_per_column_prior(stats: DataFrame, priors: dict[int, NIW]) -> DataFrame:
-    """As :func:`components`, each column with its own prior."""
-    out = None
-    for col_id, prior in priors.items():
-        part = components(stats.where(F.col("col_id") == col_id), prior)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """As :func:`components`, each column with its own prior; columns without one have no components. One join, one scan."""
+    if not priors:
+        raise ValueError("no priors")
+    d = next(iter(priors.values())).d
+    both = stats.join(priors_table(stats.sparkSession, priors), "col_id")
+    n, kappa, nu = F.col("n"), F.col("prior.kappa"), F.col("prior.nu")
+    at = lambda c, i: F.get(F.col(c), F.lit(i))
+    mean = F.array(*[(n * at("mean", i) + kappa * at("prior.mu", i)) / (kappa + n) for i in range(d)])
+    gap = [at("mean", i) - at("prior.mu", i) for i in range(d)]
+    free = F.when(nu + n - d - 1 > 0, nu + n - d - 1)
+    cov = F.array(*[(at("prior.psi", i * d + j) + at("scatter", i * d + j) + n * kappa / (kappa + n) * gap[i] * gap[j]) / free for i in range(d) for j in range(d)])
+    keys = [c for c in stats.columns if c not in ("n", "mean", "scatter")]
+    return both.select(*keys, mean.alias("mean"), cov.alias("cov"))
+
+
+def posterior_samples(stats: DataFrame, prior: NIW, seed: int = 0) -> DataFrame:
+    """``(keys, mean, cov)``: a draw from each block's posterior; by row cluster or by block, as the keys of ``stats`` say.
+
+    A draw depends on the seed and the block's keys alone. Only the rows of block statistics go to Python.
+    """
+    keys, d = [c for c in stats.columns if c not in ("n", "mean", "scatter")], prior.d
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            draws = [
+                prior.with_moments(int(n), np.array(m), np.array(s).reshape(d, d)).sample(np.random.default_rng([seed, h % (1 << 64)]))
+                for n, m, s, h in zip(pdf["n"], pdf["mean"], pdf["scatter"], pdf["h"].tolist(), strict=True)
+            ]
+            yield pdf[keys].assign(mean=[g.mean.tolist() for g in draws], cov=[g.cov.ravel().tolist() for g in draws])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in stats.dtypes if c in keys)
+    rows = stats.withColumn("h", F.xxhash64(*keys) if keys else F.lit(0).cast("bigint"))
+    return rows.mapInPandas(run, f"{kinds}, mean array<double>, cov array<double>".lstrip(", "))
 
 
 def crp_log_density(partition: DataFrame, alpha: float, label: str = "k") -> DataFrame:
@@ -176,3 +212,29 @@ def gaussian_log_likelihood(labelled: DataFrame, comps: DataFrame, prior: NIW, p
 
 def gamma_log_density(x: float, shape: float, scale: float) -> float:
     return (shape - 1) * math.log(x) - x / scale - shape * math.log(scale) - math.lgamma(shape)
+
+
+def log_likelihood_by_variable(labelled: DataFrame, comps: DataFrame, priors: dict[int, NIW], row_partitions: DataFrame, alpha_rows: dict[int, float], col_partition: DataFrame, alpha_col: float, row_prior: tuple[float, float], col_prior: tuple[float, float]) -> DataFrame:
+    """One row ``log_likelihood`` where each column (variable) has its own prior and components, and each column cluster its own row partition.
+
+    ``labelled(row_id, col_id, k, x)`` and ``comps(col_id, k, mean, cov)``; ``row_partitions(l, row_id, k)`` and
+    ``alpha_rows[l]``; ``col_partition(col_id, l)``. The concentrations' densities under their Gamma (shape, scale)
+    priors are added. ``comps`` are columns times row clusters; their densities are taken in Python, the data's in Spark.
+    """
+    if not priors:
+        raise ValueError("no priors")
+    d = next(iter(priors.values())).d
+    data = labelled.join(comps, ["col_id", "k"]).agg(F.coalesce(F.sum(niw.gaussian_log_pdf("x", "mean", "cov", d)), F.lit(0.0)).alias("data"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"prior": [priors[int(c)].log_pdf(niw.Gaussian(np.array(m), np.array(v).reshape(d, d))) for c, m, v in zip(pdf["col_id"], pdf["mean"], pdf["cov"], strict=True)]})
+
+    prior = comps.select("col_id", "mean", "cov").mapInPandas(run, "prior double").agg(F.coalesce(F.sum("prior"), F.lit(0.0)).alias("prior"))
+    alphas = row_partitions.sparkSession.createDataFrame([(int(l), float(a)) for l, a in alpha_rows.items()], "l int, alpha double")
+    counts = row_partitions.groupBy("l", "k").agg(F.count("*").alias("n")).groupBy("l").agg(F.count("*").alias("labels"), F.sum(log_factorial(F.col("n") - 1)).alias("terms"), F.sum("n").alias("n"))
+    alpha = F.col("alpha")
+    rows = counts.join(alphas, "l").agg(F.sum(F.col("labels") * F.ln(alpha) + F.col("terms") - (lgamma(alpha + F.col("n")) - lgamma(alpha))).alias("rows"))
+    fixed = sum(gamma_log_density(a, *row_prior) for a in alpha_rows.values()) + gamma_log_density(alpha_col, *col_prior)
+    out = data.crossJoin(prior).crossJoin(rows).crossJoin(crp_log_density(col_partition, alpha_col, "l"))  # one row each
+    return out.select((F.col("data") + F.col("prior") + F.col("rows") + F.col("crp") + fixed).alias("log_likelihood"))

@@ -70,12 +70,25 @@ def combinations_with_replacement(spark: SparkSession, most: int, length: int) -
     return out
 
 
-def as_dense(cells: DataFrame, d: int):
-    """A small matrix as a numpy array (rows, columns, d); for results that fit the driver."""
+def as_dense(cells: DataFrame, d: int, most: int = 10_000_000):
+    """A matrix as a numpy array (rows, columns, d), NaN where a cell is missing; one of over ``most`` numbers is refused before it is fetched."""
     import numpy as np
 
-    rows = cells.collect()
-    out = np.full((max(r["row_id"] for r in rows) + 1, max(r["col_id"] for r in rows) + 1, d), np.nan)
-    for r in rows:
+    size = cells.agg((F.max("row_id") + 1).cast("bigint").alias("n"), (F.max("col_id") + 1).cast("bigint").alias("p")).first()
+    n, p = size["n"] or 0, size["p"] or 0
+    if n * p * d > most:
+        raise ValueError(f"{n} x {p} x {d} numbers don't fit the driver's bound of {most}")
+    out = np.full((n, p, d), np.nan)
+    for r in cells.collect():
         out[r["row_id"], r["col_id"]] = r["x"]
     return out
+
+
+def cells_of_dense(spark: SparkSession, x) -> DataFrame:
+    """``(row_id, col_id, x)`` of a numpy array (rows, columns) or (rows, columns, d); NaN cells are missing."""
+    import numpy as np
+
+    x = np.asarray(x, float)
+    x = x[..., None] if x.ndim == 2 else x
+    rows = [(i, j, x[i, j].tolist()) for i in range(x.shape[0]) for j in range(x.shape[1]) if not np.isnan(x[i, j]).any()]
+    return spark.createDataFrame(rows, "row_id int, col_id int, x array<double>")

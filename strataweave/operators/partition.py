@@ -46,7 +46,10 @@ def partition_from_sizes(sizes: DataFrame) -> DataFrame:
     """``sizes(label, n)`` to ``(item, label)``: label by label, items numbered on."""
     before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = sizes.withColumn("before", before).where("n > 0")
-    return placed.select("label", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("item")).select(F.col("item").cast("bigint").alias("item"), "label")
+    # in steps, so that a label of any size isn't one array
+    step = 1 << 16
+    starts = placed.select("label", (F.col("before") + F.col("n")).alias("to"), F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1, F.lit(step).cast("bigint"))).alias("at"))
+    return starts.select(F.explode(F.sequence("at", F.least(F.col("at") + step, F.col("to")) - 1)).alias("item"), "label").select(F.col("item").cast("bigint").alias("item"), "label")
 
 
 def contingency(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -65,6 +68,16 @@ def joint_row_partition(row_partitions: DataFrame) -> DataFrame:
     return first_appearance(joined, "row_id", "labels").select("row_id", "label")
 
 
+def partitions_by_view(labelled: DataFrame, labels: str = "labels") -> DataFrame:
+    """``(row_id, labels array)`` of one label a view, to ``(view_id, row_id, k)``; the order of rows is that of ``row_id``."""
+    return labelled.select("row_id", F.posexplode(labels).alias("view_id", "k")).select("view_id", "row_id", "k")
+
+
+def view_labels(row_partitions: DataFrame) -> DataFrame:
+    """``(view_id, labels array)``: each view's labels in the order of rows, as a list; for views that fit a row."""
+    return row_partitions.groupBy("view_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "k"))), lambda r: r["k"]).alias("labels"))
+
+
 def block_partition(row_partition: DataFrame, col_partition: DataFrame) -> DataFrame:
     """``(row_id, col_id, label)``: the block of every cell, blocks numbered by first appearance down the columns.
 

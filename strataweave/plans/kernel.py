@@ -160,8 +160,14 @@ class Concentration:
     prior: tuple[float, float] | None = None
 
     def __post_init__(self) -> None:
-        if (self.alpha is None) == (self.prior is None):
-            raise ValueError("Provide either alpha or its Gamma prior: exactly one of them.")
+        if self.alpha is None and self.prior is None:
+            raise ValueError("Either alphaRow or alphaRowPrior must be provided: please provide one of the two parameters.")
+        if self.alpha is not None and self.prior is not None:
+            raise ValueError("Providing both alphaRow or alphaRowPrior is not supported: remove one of the two parameters.")
+        if self.alpha is not None and not self.alpha > 0:
+            raise ValueError(f"alpha must be greater than 0, not {self.alpha}")
+        if self.prior is not None and not min(self.prior) > 0:
+            raise ValueError(f"shape and scale must be greater than 0, not {self.prior}")
 
     @property
     def resampled(self) -> bool:
@@ -215,8 +221,9 @@ def multiview(x: np.ndarray, own_rows: list[np.ndarray], own_evidence: np.ndarra
     n, p, _ = x.shape
     marginal = Marginal(prior, n * p)
     c_row, c_col = Concentration(prior=priors["row"]), Concentration(prior=priors["col"])
-    alpha = float(rng.gamma(*priors["redundant"]))
     views, rows, cols = start or (np.zeros(p, int), [np.zeros(n, int)], [np.zeros(p, int)])
+    # drawn once, from its mean and the number of views and columns
+    alpha = update_alpha(Concentration(prior=priors["redundant"]).start, *priors["redundant"], len(rows), p, rng)
     yield 0, views, rows, cols
     for t in range(1, iterations + 1):
         views, rows = views.copy(), list(rows)

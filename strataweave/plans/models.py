@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions.niw import NIW, empirical_prior
-from strataweave.operators import blocks
+from strataweave.operators import blocks, partition
 from strataweave.plans import kernel
 from strataweave.plans.kernel import Concentration, Items
 
@@ -24,10 +24,22 @@ def _chains(df: DataFrame, chains: int) -> DataFrame:
     return df.withColumn("chain_id", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))))
 
 
+def labelled(cells: DataFrame, partition: DataFrame, item: str, label: str, start: str) -> DataFrame:
+    """``cells`` with the ``label`` of their ``item`` as ``start``; raises if an item has no label, or several."""
+    found = partition.select(item, F.col(label).alias(start))
+    counts = found.agg(F.count("*").alias("n"), F.countDistinct(item).alias("m")).first()
+    if counts["n"] != counts["m"]:
+        raise ValueError(f"the partition has {counts['n']} labels for {counts['m']} values of {item}")
+    missing = cells.select(item).distinct().join(found, item, "left_anti").count()
+    if missing:
+        raise ValueError(f"the partition lacks {missing} values of {item}")
+    return cells.join(found, item)
+
+
 def row_statistics(cells: DataFrame, d: int, col_partition: DataFrame | None = None, item: str = "row_id", other: str = "l") -> DataFrame:
     """``(item, l, n, mean, scatter)``; without a partition each column is its own cluster."""
-    labelled = cells.withColumn("l", F.col("col_id")) if col_partition is None else cells.join(col_partition, "col_id")
-    return blocks.block_stats(labelled, d, item, other)
+    cells = cells.withColumn("l", F.col("col_id")) if col_partition is None else labelled(cells, col_partition, "col_id", "l", "l")
+    return blocks.block_stats(cells, d, item, other)
 
 
 def _items(pdf: pd.DataFrame, item: str, other: str, d: int) -> tuple[np.ndarray, Items]:
@@ -59,7 +71,7 @@ class Clustering:
             raise ValueError(f"the prior has {prior.d} dimensions, the data {d}")
         stats = row_statistics(cells, d, col_partition)
         if row_partition is not None:
-            stats = stats.join(row_partition.select("row_id", F.col("k").alias("start")), "row_id")
+            stats = labelled(stats, row_partition, "row_id", "k", "start")
         else:
             stats = stats.withColumn("start", F.lit(0))
         conc, sweeps, seed, west = self.concentration, self.sweeps, self.seed, self.west
@@ -110,21 +122,35 @@ class Coclustering:
 
     @staticmethod
     def _started(cells: DataFrame, row_partition: DataFrame | None, col_partition: DataFrame | None) -> DataFrame:
-        rows = cells.withColumn("k0", F.lit(0)) if row_partition is None else cells.join(row_partition.withColumnRenamed("k", "k0"), "row_id")
-        return rows.withColumn("l0", F.col("col_id")) if col_partition is None else rows.join(col_partition.withColumnRenamed("l", "l0"), "col_id")
+        rows = cells.withColumn("k0", F.lit(0)) if row_partition is None else labelled(cells, row_partition, "row_id", "k", "k0")
+        return rows.withColumn("l0", F.col("col_id")) if col_partition is None else labelled(rows, col_partition, "col_id", "l", "l0")
 
-    def run_distributed(self, cells: DataFrame, d: int, row_partition: DataFrame | None = None, col_partition: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    def run_distributed(self, cells: DataFrame, d: int, row_partition: DataFrame | None = None, col_partition: DataFrame | None = None, col_groups: int = 32, trace: list[dict] | None = None) -> tuple[DataFrame, DataFrame]:
         """``(row_partition, col_partition)`` after the iterations, for matrices beyond one task.
 
         Two jobs an iteration: cells are aggregated to one row of statistics for each item and cluster of the other
-        axis, a kernel sweeps those, and the new partition is written to the checkpoint folder.
+        axis, a kernel sweeps those, and the new partition is written to the checkpoint folder. Columns start in ``col_groups``
+        groups by their hash, so what comes to one task is a row's statistics times the groups at most, not the matrix;
+        a sweep itself is sequential. With ``update_alpha``, concentrations that have priors are drawn anew after
+        each iteration. ``trace`` gets a dict of each iteration: alphas, numbers of clusters, log likelihood.
         """
         prior = self.prior or empirical_prior(cells, d)
-        rows = row_partition or cells.select("row_id").distinct().withColumn("k", F.lit(0))
-        cols = col_partition or cells.select("col_id").distinct().withColumn("l", F.col("col_id"))
+        rows = row_partition if row_partition is not None else cells.select("row_id").distinct().withColumn("k", F.lit(0))
+        cols = col_partition if col_partition is not None else cells.select("col_id").distinct().withColumn("l", F.pmod(F.xxhash64("col_id"), F.lit(col_groups)).cast("int"))
+        for table, item, label in ((rows, "row_id", "k"), (cols, "col_id", "l")):
+            labelled(cells, table, item, label, "start")
+        alphas, rng = [self.row.start, self.col.start], np.random.default_rng([self.seed, 7])
         for t in range(self.iterations):
-            rows = self._half(cells, d, prior, rows, cols, "row_id", "k", "col_id", "l", self.row.start, [self.seed, t, 0])
-            cols = self._half(cells, d, prior, cols, rows, "col_id", "l", "row_id", "k", self.col.start, [self.seed, t, 1])
+            rows = self._half(cells, d, prior, rows, cols, "row_id", "k", "col_id", "l", alphas[0], [self.seed, t, 0])
+            cols = self._half(cells, d, prior, cols, rows, "col_id", "l", "row_id", "k", alphas[1], [self.seed, t, 1])
+            sizes = [p.agg(F.countDistinct(c).alias("k"), F.count("*").alias("n")).first() for p, c in ((rows, "k"), (cols, "l"))]
+            if trace is not None:
+                both = cells.join(rows, "row_id").join(cols, "col_id")
+                fit = blocks.completed_log_likelihood(both, prior, rows, alphas[0], cols, alphas[1]).first()["log_likelihood"]
+                trace.append({"iteration": t + 1, "alpha_row": alphas[0], "alpha_col": alphas[1], "rows": sizes[0]["k"], "cols": sizes[1]["k"], "log_likelihood": fit})
+            for i, (c, size) in enumerate(zip((self.row, self.col), sizes, strict=True)):
+                if self.update_alpha and c.resampled:
+                    alphas[i] = kernel.update_alpha(alphas[i], *c.prior, size["k"], size["n"], rng)
         return rows, cols
 
     @staticmethod
@@ -144,7 +170,7 @@ class Coclustering:
 
 
 @dataclass
-class MultiCoclustering:
+class MultiViewBlocks:
     """Columns in views, each view with a latent block model of its own; Gamma (shape, scale) priors."""
 
     row: tuple[float, float]
@@ -179,22 +205,47 @@ class MultiCoclustering:
 
         return cells.groupBy("col_id").applyInPandas(run, "col_id int, log_prior double, rows array<int>, labels array<int>, x array<double>")
 
-    def run(self, cells: DataFrame, d: int) -> DataFrame:
-        """``(chain_id, iteration, axis, view_id, item_id, label)``: axis "view" says the view of each column, "row" and "col" the labels in a view."""
+    def run(self, cells: DataFrame, d: int, view_partition: DataFrame | None = None, row_partitions: DataFrame | None = None, col_partitions: DataFrame | None = None) -> DataFrame:
+        """``(chain_id, iteration, axis, view_id, item_id, label)``: axis "view" says the view of each column, "row" and "col" the labels in a view.
+
+        All columns start in view 0, all labels at 0. A start of one's own is ``view_partition(col_id, view_id)`` with
+        ``row_partitions(view_id, row_id, k)`` and ``col_partitions(col_id, l)``; those left out start at 0.
+        """
         prior = self.prior or empirical_prior(cells, d)
         models = self.column_models(cells, d, prior)
         priors = {"row": self.row, "col": self.col, "redundant": self.redundant}
         iterations, seed, inner = self.iterations, self.seed, self.inner
+        if view_partition is None and (row_partitions is not None or col_partitions is not None):
+            raise ValueError("row and column partitions need a view partition")
+        models = models.withColumn("h0", F.lit(0)) if view_partition is None else labelled(models, view_partition, "col_id", "view_id", "h0")
+        models = models.withColumn("l0", F.lit(0)) if col_partitions is None else labelled(models, col_partitions, "col_id", "l", "l0")
+        if row_partitions is None:
+            models = models.withColumn("z0", F.lit(None).cast("array<int>"))
+        else:
+            views = partition.view_labels(row_partitions).select(F.col("view_id").alias("h0"), F.col("labels").alias("z0"))
+            models = labelled(models, views, "h0", "z0", "z0")
+
+        def started(pdf: pd.DataFrame, n: int) -> tuple | None:
+            if view_partition is None:
+                return None
+            names, views = np.unique(pdf["h0"].to_numpy(), return_inverse=True)
+            rows = []
+            for h in range(len(names)):
+                z = pdf["z0"][views == h].iloc[0] if row_partitions is not None else np.zeros(n, int)
+                if len(z) != n:
+                    raise ValueError(f"a view's row partition has {len(z)} labels for {n} rows")
+                rows.append(kernel.relabelled(z))
+            return views, rows, [kernel.relabelled(pdf["l0"][views == h]) for h in range(len(names))]
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            chain, pdf = int(pdf["chain_id"].iloc[0]), pdf.sort_values("col_id")
+            chain, pdf = int(pdf["chain_id"].iloc[0]), pdf.sort_values("col_id").reset_index(drop=True)
             ids = np.array(pdf["rows"].iloc[0])
             if any(len(r) != len(ids) for r in pdf["rows"]):
                 raise ValueError("every column needs a cell in every row")
             x = np.stack([np.array(v).reshape(len(ids), d) for v in pdf["x"]], axis=1)
             own, cols = [np.array(v) for v in pdf["labels"]], pdf["col_id"].to_numpy()
             out = []
-            for t, views, rows, labels in kernel.multiview(x, own, pdf["log_prior"].to_numpy(), priors, prior, iterations, np.random.default_rng([seed, chain]), inner):
+            for t, views, rows, labels in kernel.multiview(x, own, pdf["log_prior"].to_numpy(), priors, prior, iterations, np.random.default_rng([seed, chain]), inner, started(pdf, len(ids))):
                 out.append(pd.DataFrame({"axis": "view", "view_id": views, "item_id": cols, "label": views, "iteration": t}))
                 for h, (r, c) in enumerate(zip(rows, labels, strict=True)):
                     out.append(pd.DataFrame({"axis": "row", "view_id": h, "item_id": ids, "label": r, "iteration": t}))

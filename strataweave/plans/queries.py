@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from strataweave.functions import niw, special, stats
 from strataweave.functions.niw import NIW
 from strataweave.operators import blocks, matrix, metrics, partition, report
 from strataweave.plans.kernel import Concentration
-from strataweave.plans.models import Clustering, Coclustering, MultiCoclustering, last_partition
+from strataweave.plans.models import Clustering, Coclustering, MultiViewBlocks, last_partition
 from strataweave.sources import adapters, generators
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,12 +318,8 @@ select k, l, round(n * mean / (1 + n), 6) as mu, 1.0::double + n as kappa, round
 def niw_remove(s, d):
     """The odd rows are taken out of each block's statistics again."""
     a = _a(s, d)
-    both = blocks.block_stats(a, 1).join(blocks.block_stats(a.where("row_id % 2 = 1"), 1).select("k", "l", F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("scatter").alias("s2")), ["k", "l"])
-    n = F.col("n") - F.col("n2")
-    mean = (F.col("n") * _at("mean", 0) - F.col("n2") * _at("m2", 0)) / n
-    gap = _at("m2", 0) - mean
-    scatter = _at("scatter", 0) - _at("s2", 0) - gap * gap * n * F.col("n2") / F.col("n")
-    left = both.where(n > 0).select("k", "l", n.alias("n"), F.array(mean).alias("mean"), F.array(scatter).alias("scatter"))
+    taken = blocks.block_stats(a.where("row_id % 2 = 1"), 1).select("k", "l", F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("scatter").alias("s2"))
+    left = blocks.block_stats(a, 1).join(taken, ["k", "l"], "left").select("k", "l", niw.without(1).alias("left")).select("k", "l", "left.*").where("n > 0")
     p = blocks.posteriors(left, P1).select("k", "l", "niw.*")
     return p.select("k", "l", _r(_at("mu", 0)).alias("mu"), "kappa", _r(_at("psi", 0)).alias("psi"), "nu")
 
@@ -381,11 +378,19 @@ t as (select h, l, k, count(*) as n, avg(x) as mean, var_pop(x) * count(*) as sc
 select h, l, k, round(n * mean / (1 + n), 9) as mean, round((1 + scatter + n * mean * mean / (1 + n)) / n, 9) as cov from t"""
 
 
-@query(f"""with {_A}, t as (select col_id, k, count(*) as n, avg(x) as mean, var_pop(x) * count(*) as scatter from a group by all)
-select col_id, k, round(n * mean / (1 + n), 9) as mean, round((1 + scatter + n * mean * mean / (1 + n)) / n, 9) as cov from t where col_id < 3""")
+_PRIORS = "pr as (select cast(i as int) as col_id, i / 100.0::double as mu0, 1.0::double + i % 3 as kappa0, 1 + i / 10.0::double as psi0, 2 + i % 4 as nu0 from range(64) t(i))"
+_OWN = """own as (select *, (kappa0 * mu0 + n * mean) / (kappa0 + n) as mu, (psi0 + scatter + n * kappa0 / (n + kappa0) * (mean - mu0) * (mean - mu0)) / (nu0 + n - 2) as cv from t join pr using (col_id))"""
+
+
+def _priors() -> dict[int, NIW]:
+    return {i: NIW.of((i / 100,), 1 + i % 3, ((1 + i / 10,),), 2 + i % 4) for i in range(64)}
+
+
+@query(f"""with {_A}, {_PRIORS}, t as (select col_id, k, count(*) as n, avg(x) as mean, var_pop(x) * count(*) as scatter from a group by all), {_OWN}
+select col_id, k, round(mu, 9) as mean, round(cv, 9) as cov from own""")
 def components_per_column(s, d):
     stats_by = blocks.block_stats(blocks.label_cells(adapters.embeddings(s, d), adapters.embedding_labels(s, d)[0]), 1, "col_id", "k")
-    c = blocks.components_per_column_prior(stats_by, {0: P1, 1: P1, 2: P1})
+    c = blocks.components_per_column_prior(stats_by, _priors())
     return c.select("col_id", "k", _r(_at("mean", 0), 9).alias("mean"), _r(_at("cov", 0), 9).alias("cov"))
 
 
@@ -498,15 +503,9 @@ def scores_of_labels(s, d):
     return _scores(_table(s, d, "documents").select("doc_id", "lang").join(_table(s, d, "labels"), "doc_id"), "quality", "lang")
 
 
-@query("with v as (select vec_id, embedding::double[] as e from embeddings where vec_id < 50) select a.vec_id as i, b.vec_id as j, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) as distance from v a, v b")
+@query("with v as (select vec_id, embedding::double[] as e from embeddings) select a.vec_id as i, b.vec_id as j, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) as distance from v a, v b")
 def distance_matrix(s, d):
-    v = _table(s, d, "embeddings").where("vec_id < 50").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    return metrics.distance_matrix(v).select("i", "j", _r("distance").alias("distance"))
-
-
-@query()
-def distance_matrix_all(s, d):
-    """All pairs of the whole table, n^2 rows; the query above is the part that its SQL covers."""
+    """All pairs of the whole table, n^2 rows."""
     v = _table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
     return metrics.distance_matrix(v).select("i", "j", _r("distance").alias("distance"))
 
@@ -538,6 +537,156 @@ def clbm_report(s, d):
     return report.clbm_report(rows, rows.select(F.col("view_id").alias("l")).distinct().withColumn("n", F.lit(1)))
 
 
+@query(_score_sql("lineitem", "l_returnflag", "l_linestatus").replace("select round(", "select ari_col, round(", 1).replace("as ari,", "as ari_row,").replace("as ri,", "as ri_row,").replace("as nmi,", "as nmi_row,").replace("as n_clusters from e", "as n_row_clusters from e, (select ari as ari_col from (" + _score_sql("part", "p_brand", "p_type") + "))"))
+def coclustering_scores(s, d):
+    rows = _table(s, d, "lineitem").select(F.col("l_returnflag").alias("e"), F.col("l_linestatus").alias("t"))
+    cols = _table(s, d, "part").select(F.col("p_brand").alias("e"), F.col("p_type").alias("t"))
+    out = metrics.coclustering_scores(rows, cols, "e", "t")
+    return out.select(*[_r(c, 9).alias(c) if c != "n_row_clusters" else c for c in out.columns])
+
+
+@query("select l_returnflag as k, count(*) filter (l_linestatus = 'F') as \"F\", count(*) filter (l_linestatus = 'O') as \"O\" from lineitem group by all")
+def block_grid(s, d):
+    sizes = _table(s, d, "lineitem").groupBy(F.col("l_linestatus").alias("l"), F.col("l_returnflag").alias("k")).agg(F.count("*").alias("n"))
+    return report.grid(sizes).select("k", F.coalesce("F", F.lit(0).cast("bigint")).alias("F"), F.coalesce("O", F.lit(0).cast("bigint")).alias("O"))
+
+
+_EIGEN = """with c as (select floor(var_samp(p_size) * 1e8 + 0.5::double) / 1e8 as a, floor(covar_samp(p_size, p_retailprice / 100) * 1e8 + 0.5::double) / 1e8 as b, floor(var_samp(p_retailprice / 100) * 1e8 + 0.5::double) / 1e8 as c from part),
+r as (select *, (a + c) / 2 as m, sqrt((a - c) * (a - c) / 4 + b * b) as q from c),
+v as (select 0 as i, m + q as value, 2 * m as total, a, b from r union all select 1, m - q, 2 * m, a, b from r),
+u as (select i, value, value / total as proportion, b / sqrt(b * b + (value - a) * (value - a)) as x, (value - a) / sqrt(b * b + (value - a) * (value - a)) as y from v),
+e as (select i, value, proportion, case when (abs(x) >= abs(y) and x < 0) or (abs(y) > abs(x) and y < 0) then -x else x end as x, case when (abs(x) >= abs(y) and x < 0) or (abs(y) > abs(x) and y < 0) then -y else y end as y,
+  sum(proportion) over (order by i) as upto from u)"""
+
+
+def _part_cov(s: SparkSession, d: str):
+    x = _table(s, d, "part").select(F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("x"))
+    return np.array(stats.covariance_matrix(x, 2).first()["cov"]).reshape(2, 2)
+
+
+@query(f"{_EIGEN} select i, round(value, 6) as value, round(proportion, 9) as proportion, round(x, 6) as x, round(y, 6) as y from e")
+def principal_components(s, d):
+    e = metrics.eigen(_part_cov(s, d))
+    rows = [(i, float(v), float(p), float(l[0]), float(l[1])) for i, (v, p, l) in enumerate(zip(e.values, e.proportions, e.loadings, strict=True))]
+    out = s.createDataFrame(rows, "i int, value double, proportion double, x double, y double")
+    return out.select("i", _r("value").alias("value"), _r("proportion", 9).alias("proportion"), _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query(f"{_EIGEN} select i, round(x, 6) as x, round(y, 6) as y from e where i < least((select min(i) from e where upto > 0.99::double), 3)")
+def leading_loadings(s, d):
+    rows = [(i, float(l[0]), float(l[1])) for i, l in enumerate(metrics.loadings(_part_cov(s, d)))]
+    return s.createDataFrame(rows, "i int, x double, y double").select("i", _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query(f"{_EIGEN} select i, round(x, 6) as x, round(y, 6) as y, round(proportion, 9) as proportion from e where i < least((select min(i) + 1 from e where upto > 0.5::double), 3)")
+def loadings_and_variance(s, d):
+    rows, share = metrics.loadings_and_variance(_part_cov(s, d), threshold=0.5)
+    out = s.createDataFrame([(i, float(l[0]), float(l[1]), float(p)) for i, (l, p) in enumerate(zip(rows, share, strict=True))], "i int, x double, y double, proportion double")
+    return out.select("i", _r("x").alias("x"), _r("y").alias("y"), _r("proportion", 9).alias("proportion"))
+
+
+@query(f"with {_A} select round(avg(x), 9) as mu, 1.0::double as kappa, round(1 / (floor(var_samp(x) * 1e8 + 0.5::double) / 1e8), 6) as psi, 2 as nu from a")
+def empirical_prior(s, d):
+    p = niw.empirical_prior(adapters.embeddings(s, d), 1)
+    return s.createDataFrame([(float(p.mu[0]), p.kappa, float(p.psi[0, 0]), p.nu)], "mu double, kappa double, psi double, nu int").select(_r("mu", 9).alias("mu"), "kappa", _r("psi").alias("psi"), "nu")
+
+
+def _weighted(s: SparkSession, d: str, weight: Column) -> DataFrame:
+    return _table(s, d, "part").select("p_partkey", weight.cast("bigint").alias("n"), F.array(F.col("p_retailprice") / 7).alias("mean"), F.array(F.lit(0.0)).alias("scatter"))
+
+
+@query("select p_partkey, round(p_size * p_retailprice / 7 / (1 + p_size), 6) as mu, 1.0::double + p_size as kappa, round(1 + p_size * (p_retailprice / 7) * (p_retailprice / 7) / (1 + p_size), 4) as psi, 2 + p_size as nu from part")
+def niw_weighted_update(s, d):
+    p = blocks.posteriors(_weighted(s, d, F.col("p_size")), P1).select("p_partkey", "niw.*")
+    return p.select("p_partkey", _r(_at("mu", 0)).alias("mu"), "kappa", _r(_at("psi", 0), 4).alias("psi"), "nu")
+
+
+@query("select p_partkey, round(p_retailprice / 7 / 2, 6) as mu, 2.0::double as kappa, round(1 + (p_retailprice / 7) * (p_retailprice / 7) / 2, 4) as psi, 3 as nu from part")
+def niw_weighted_remove(s, d):
+    """All but one of a vector's weight is taken away again."""
+    both = _weighted(s, d, F.col("p_size")).join(_weighted(s, d, F.col("p_size") - 1).toDF("p_partkey", "n2", "m2", "s2"), "p_partkey")
+    p = blocks.posteriors(both.select("p_partkey", niw.without(1).alias("left")).select("p_partkey", "left.*"), P1).select("p_partkey", "niw.*")
+    return p.select("p_partkey", _r(_at("mu", 0)).alias("mu"), "kappa", _r(_at("psi", 0), 4).alias("psi"), "nu")
+
+
+@query(f"""with {_A}, {_PRIORS}, la as (select row_id, col_id, x, l, k % (l + 2) as k from a), t as (select col_id, k, count(*) as n, avg(x) as mean, var_pop(x) * count(*) as scatter from la group by all), {_OWN},
+data as (select sum({'-0.5::double * (ln(2 * pi()) + ln(cv) + (x - mu) * (x - mu) / cv)'}) as v from la join own using (col_id, k)),
+prior as (select sum(-0.5::double * (ln(2 * pi()) + ln(cv / kappa0) + (mu - mu0) * (mu - mu0) / (cv / kappa0)) + nu0 / 2.0::double * ln(psi0) - nu0 / 2.0::double * ln(2.0::double) - lgamma(nu0 / 2.0::double) - (nu0 + 2) / 2.0::double * ln(cv) - 0.5::double * psi0 / cv) as v from own),
+rk as (select l, k, count(distinct row_id) as n from la group by all), rw as (select l, count(*) * ln(1.0::double + l) + sum(lgamma(n::double)) - (lgamma(1.0::double + l + sum(n)) - lgamma(1.0::double + l)) as v from rk group by l)
+select round((select v from data) + (select v from prior) + (select sum(v) from rw) + {_crp('cp', 'l', 1.5)}
+  + (select sum(ln(1.0::double + l) - (1.0::double + l) / 3 - 2 * ln(3.0::double)) from range(4) t(l)) + (2 * ln(1.5::double) - 1.5::double / 0.5::double - 3 * ln(0.5::double) - lgamma(3.0::double)), 2) as log_likelihood""")
+def likelihood_by_variable(s, d):
+    """Each column its own prior, each column cluster its own row partition and concentration."""
+    rows, cols = adapters.embedding_labels(s, d)
+    views = rows.select("row_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda l: F.struct(l.alias("l"), (F.col("k") % (l + 2)).alias("k")))).alias("v")).select("v.l", "row_id", "v.k")
+    labelled = adapters.embeddings(s, d).join(cols, "col_id").join(views, ["l", "row_id"])
+    comps = blocks.components_per_column_prior(blocks.block_stats(labelled, 1, "col_id", "k"), _priors())
+    out = blocks.log_likelihood_by_variable(labelled.select("row_id", "col_id", "k", "x"), comps, _priors(), views, {l: 1.0 + l for l in range(4)}, cols, 1.5, (2.0, 3.0), (3.0, 0.5))
+    return out.select(_r("log_likelihood", 2).alias("log_likelihood"))
+
+
+_E = "e as (select vec_id, embedding::double[] as v from embeddings)"
+
+
+def _e(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query(f"with {_E}, a as (select vec_id, list_transform(v, lambda x: abs(x)) as v from e) select vec_id, round(v[1] / list_sum(v), 9) as first, round(v[64] / list_sum(v), 9) as last from a")
+def normalized_weights(s, d):
+    p = _e(s, d).select("vec_id", special.normalize(F.transform("v", lambda x: F.abs(x))).alias("p"))
+    return p.select("vec_id", _r(_at("p", 0), 9).alias("first"), _r(_at("p", 63), 9).alias("last"))
+
+
+@query(f"""with {_E}, a as (select vec_id, list_transform(v, lambda x: abs(x)) as v from e), u as (select vec_id, unnest(v) / list_sum(v) as p, unnest(range(64)) as i, (vec_id * 37 % 1000 + 0.5::double) / 1000 as u from a),
+c as (select vec_id, i, u, sum(p) over (partition by vec_id order by i) as upto from u) select vec_id, cast(min(i) as int) as category from c where upto >= u group by vec_id""")
+def inverse_cdf_sample(s, d):
+    p = _e(s, d).select("vec_id", special.normalize(F.transform("v", lambda x: F.abs(x))).alias("p"))
+    return p.select("vec_id", special.inverse_cdf("p", (F.col("vec_id") * 37 % 1000 + 0.5) / 1000).cast("int").alias("category"))
+
+
+@query(f"with {_E} select vec_id, round(v[1] * v[1], 9) as c00, round(v[1] * v[2], 9) as c01, round(v[2] * v[2], 9) as c11, 0.0::double as d01 from e")
+def outer_products(s, d):
+    x = _e(s, d).withColumn("v", F.slice("v", 1, 2)).select("vec_id", special.outer_product("v").alias("o"), special.outer_product("v", full=False).alias("g"))
+    return x.select("vec_id", _r(_at("o", 0), 9).alias("c00"), _r(_at("o", 1), 9).alias("c01"), _r(_at("o", 3), 9).alias("c11"), _at("g", 1).alias("d01"))
+
+
+@query(f"with {_E} select vec_id, round(v[4], 9) as removed, 64 - 1 as n_removed, round(v[3], 9) as inserted, 64 + 1 as n_inserted, 7.0::double as put, round(v[3], 9) as after, 64 + 2 as n_all from e")
+def list_edits(s, d):
+    x = _e(s, d).select("vec_id", special.remove_at(F.col("v"), 2).alias("r"), special.insert_at(F.col("v"), 2, F.lit(7.0)).alias("i"), special.insert_all(F.col("v"), 2, F.array(F.lit(7.0), F.lit(8.0))).alias("a"))
+    return x.select("vec_id", _r(_at("r", 2), 9).alias("removed"), F.size("r").alias("n_removed"), _r(_at("i", 3), 9).alias("inserted"), F.size("i").alias("n_inserted"), _at("i", 2).alias("put"), _r(_at("a", 4), 9).alias("after"), F.size("a").alias("n_all"))
+
+
+@query(f"with {_E} select a.vec_id, list_bool_and(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]) <= 0.2::double)) as close, a.v = b.v as same from e a join e b on b.vec_id = a.vec_id - a.vec_id % 3")
+def all_equal(s, d):
+    b = _e(s, d).select(F.col("vec_id").alias("other"), F.col("v").alias("w"))
+    both = _e(s, d).join(b, F.col("vec_id") - F.col("vec_id") % 3 == F.col("other"))
+    return both.select("vec_id", special.all_equal("v", "w", 0.2).alias("close"), special.all_equal("v", "w").alias("same"))
+
+
+@query(f"with {_E} select vec_id, floor(v[1] * 100 + 0.5::double) / 100 as first, floor(v[2] * 100 + 0.5::double) / 100 as second from e")
+def round_vectors(s, d):
+    r = _e(s, d).select("vec_id", special.round_vector("v", 2).alias("r"))
+    return r.select("vec_id", _at("r", 0).alias("first"), _at("r", 1).alias("second"))
+
+
+@query(f"with {_A} select l, round(avg(x), 9) as mean from a group by l")
+def vector_means(s, d):
+    return stats.vector_mean(_a(s, d), 1, "x", "l").select("l", _r(_at("mean", 0), 9).alias("mean"))
+
+
+@query(f"with {_V} select h as view_id, array_to_string(list(k order by row_id), ',') as labels from v where col_id < 2 group by h")
+def view_labels(s, d):
+    _, _, labels = _views(s, d)
+    return partition.view_labels(labels).select("view_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+@query(f"with {_C} select col_id, cast(count(*) as int) as n, round(list(x0 order by row_id)[1], 6) as first, round(list(x0 order by row_id desc)[1], 6) as last from c group by col_id")
+def columns_as_arrays(s, d):
+    xs = matrix.columns_of(adapters.events(s, d))
+    return xs.select("col_id", F.size("xs").alias("n"), _r(F.get(F.get("xs", F.lit(0)), F.lit(0))).alias("first"), _r(F.get(F.element_at("xs", -1), F.lit(0))).alias("last"))
+
+
 # generators and samplers: rows only
 
 
@@ -562,13 +711,13 @@ def generate_lbm(s, d):
 @query()
 def dpmm_run(s, d):
     cells = generators.mixture(s, MODES[0] + MODES[1], COVS[0] + COVS[1], [50] * 4)
-    return Clustering(Concentration(alpha=5.0), sweeps=30).run(cells, 2)
+    return Clustering(Concentration(alpha=5.0), sweeps=100).run(cells, 2)
 
 
 @query()
 def lbm_run(s, d):
     cells = generators.lbm(s, MODES, COVS, [30, 30], [15, 15, 15])
-    return Coclustering(Concentration(alpha=10.0), Concentration(alpha=10.0), iterations=10).run(cells, 2)
+    return Coclustering(Concentration(alpha=10.0), Concentration(alpha=10.0), iterations=20).run(cells, 2)
 
 
 @query()
@@ -576,14 +725,23 @@ def multiview_run(s, d):
     one = generators.lbm(s, MODES[:2], COVS[:2], [30, 30], [15, 15], seed=1)
     two = generators.lbm(s, [MODES[0], MODES[2]], [COVS[0], COVS[2]], [20, 40], [20, 10], seed=2)
     cells = generators.beside(one.drop("k", "l"), two.drop("k", "l"))
-    return MultiCoclustering((10, 5), (100, 200), (10, 1), iterations=2).run(cells, 2)
+    return MultiViewBlocks((10, 5), (100, 200), (10, 1), iterations=20).run(cells, 2)
+
+
+@query()
+def posterior_samples(s, d):
+    """A draw from the posterior of each block, and of each row cluster."""
+    a = _a(s, d)
+    by_block = blocks.posterior_samples(blocks.block_stats(a, 1, "k", "l"), P1, seed=3)
+    by_cluster = blocks.posterior_samples(blocks.block_stats(a, 1, "k"), P1, seed=3).withColumn("l", F.lit(None).cast("int"))
+    return by_block.unionByName(by_cluster).select("k", "l", _at("mean", 0).alias("mean"), _at("cov", 0).alias("cov"))
 
 
 @query()
 def dpmm_events(s, d):
     """Users clustered by their five event types, and the components of the last partition."""
     cells = adapters.events(s, d)
-    trace = Clustering(Concentration(prior=(1.0, 2.0)), sweeps=5).run(cells, 2).where("item_id is not null")
+    trace = Clustering(Concentration(prior=(1.0, 2.0)), sweeps=20).run(cells, 2).where("item_id is not null")
     prior = niw.empirical_prior(cells, 2)
     labelled = cells.withColumn("l", F.col("col_id")).join(last_partition(trace), "row_id")
     return blocks.components(blocks.block_stats(labelled, 2, "chain_id", "k", "l"), prior)

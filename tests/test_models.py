@@ -9,7 +9,7 @@ from strataweave.functions.niw import NIW
 from strataweave.operators import blocks, matrix, metrics, partition, report
 from strataweave.plans import kernel
 from strataweave.plans.kernel import Concentration, Items, Marginal
-from strataweave.plans.models import Clustering, Coclustering, MultiCoclustering, iteration_components, last_partition
+from strataweave.plans.models import Clustering, Coclustering, MultiViewBlocks, iteration_components, last_partition
 from strataweave.plans.queries import COVS, MODES
 from strataweave.sources import generators
 from strataweave.streaming.blocks import streaming_block_stats
@@ -17,7 +17,7 @@ from strataweave.streaming.blocks import streaming_block_stats
 
 def test_concentration_is_alpha_or_prior():
     for bad in ({}, {"alpha": 1.0, "prior": (1.0, 2.0)}):
-        with pytest.raises(ValueError, match="either alpha or its Gamma prior"):
+        with pytest.raises(ValueError, match="alphaRow or alphaRowPrior"):
             Concentration(**bad)
     assert Concentration(prior=(1.0, 2.0)).start == 2.0 and Concentration(prior=(5.0, 10.0)).start == 50.0
     assert not Concentration(alpha=3.0).resampled
@@ -84,7 +84,7 @@ def test_views(spark):
     one = generators.lbm(spark, MODES[:2], COVS[:2], [15, 15], [5, 5], seed=1).drop("k", "l")
     two = generators.lbm(spark, [MODES[0], MODES[2]], [COVS[0], COVS[2]], [8, 22], [6, 4], seed=2).drop("k", "l")
     cells = generators.beside(one, two)
-    trace = MultiCoclustering((1, 1), (1, 1), (1, 1), iterations=6, column_sweeps=20, inner=3).run(cells, 2)
+    trace = MultiViewBlocks((1, 1), (1, 1), (1, 1), iterations=6, column_sweeps=20, inner=3).run(cells, 2)
     views = trace.where("axis = 'view' and iteration = 6").select("item_id", "label").toPandas().set_index("item_id")["label"]
     assert len(views) == 20 and not set(views[:10]) & set(views[10:])
     assert generators.below(one, one).agg(F.max("row_id"), F.max("col_id")).first() == (59, 9)

@@ -225,13 +225,15 @@ class MultiViewBlocks:
             views = partition.view_labels(row_partitions).select(F.col("view_id").alias("h0"), F.col("labels").alias("z0"))
             models = labelled(models, views, "h0", "z0", "z0")
 
+        given, given_rows = view_partition is not None, row_partitions is not None
+
         def started(pdf: pd.DataFrame, n: int) -> tuple | None:
-            if view_partition is None:
+            if not given:
                 return None
             names, views = np.unique(pdf["h0"].to_numpy(), return_inverse=True)
             rows = []
             for h in range(len(names)):
-                z = pdf["z0"][views == h].iloc[0] if row_partitions is not None else np.zeros(n, int)
+                z = pdf["z0"][views == h].iloc[0] if given_rows else np.zeros(n, int)
                 if len(z) != n:
                     raise ValueError(f"a view's row partition has {len(z)} labels for {n} rows")
                 rows.append(kernel.relabelled(z))

@@ -7,11 +7,11 @@ import numpy as np
 from strataweave.plans.queries import QUERIES
 
 
-def test_distance_matrix_all(spark, tmp_path):
+def test_distance_matrix(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = {int(i): rng.normal(size=4).astype("f4") for i in (0, 3, 49, 50, 51, 700)}
     spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = QUERIES["distance_matrix_all"](spark, str(tmp_path)).collect()
+    got = QUERIES["distance_matrix"](spark, str(tmp_path)).collect()
     assert len(got) == 36
     want = {(i, j): math.dist(x[i].astype(float), x[j].astype(float)) for i in x for j in x}
     assert {(r["i"], r["j"]) for r in got} == set(want)

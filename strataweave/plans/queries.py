@@ -592,16 +592,16 @@ def empirical_prior(s, d):
 
 
 def _weighted(s: SparkSession, d: str, weight: Column) -> DataFrame:
-    return _table(s, d, "part").select("p_partkey", weight.cast("bigint").alias("n"), F.array(F.col("p_retailprice") / 7).alias("mean"), F.array(F.lit(0.0)).alias("scatter"))
+    return _table(s, d, "part").select("p_partkey", weight.cast("bigint").alias("n"), F.array(F.col("p_retailprice") / 3.712345711).alias("mean"), F.array(F.lit(0.0)).alias("scatter"))
 
 
-@query("select p_partkey, round(p_size * p_retailprice / 7 / (1 + p_size), 6) as mu, 1.0::double + p_size as kappa, round(1 + p_size * (p_retailprice / 7) * (p_retailprice / 7) / (1 + p_size), 4) as psi, 2 + p_size as nu from part")
+@query("select p_partkey, round(p_size * p_retailprice / 3.712345711::double / (1 + p_size), 6) as mu, 1.0::double + p_size as kappa, round(1 + p_size * (p_retailprice / 3.712345711::double) * (p_retailprice / 3.712345711::double) / (1 + p_size), 2) as psi, 2 + p_size as nu from part")
 def niw_weighted_update(s, d):
     p = blocks.posteriors(_weighted(s, d, F.col("p_size")), P1).select("p_partkey", "niw.*")
-    return p.select("p_partkey", _r(_at("mu", 0)).alias("mu"), "kappa", _r(_at("psi", 0), 4).alias("psi"), "nu")
+    return p.select("p_partkey", _r(_at("mu", 0)).alias("mu"), "kappa", _r(_at("psi", 0), 2).alias("psi"), "nu")
 
 
-@query("select p_partkey, round(p_retailprice / 7 / 2, 6) as mu, 2.0::double as kappa, round(1 + (p_retailprice / 7) * (p_retailprice / 7) / 2, 4) as psi, 3 as nu from part")
+@query("select p_partkey, round(p_retailprice / 3.712345711::double / 2, 6) as mu, 2.0::double as kappa, round(1 + (p_retailprice / 3.712345711::double) * (p_retailprice / 3.712345711::double) / 2, 4) as psi, 3 as nu from part")
 def niw_weighted_remove(s, d):
     """All but one of a vector's weight is taken away again."""
     both = _weighted(s, d, F.col("p_size")).join(_weighted(s, d, F.col("p_size") - 1).toDF("p_partkey", "n2", "m2", "s2"), "p_partkey")

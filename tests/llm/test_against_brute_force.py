@@ -245,10 +245,10 @@ def brute_dropped(rows):
     words = {x: w if len(w) >= lines.MIN_WORDS else [] for x, w in words.items()}
     slots = Counter(h % lines.SLOTS for hs in words.values() for h in hs)
     most = max(slots.values(), default=1)
-    keys = {}
+    keys, tops = {}, {}
     for x, hs in words.items():
-        tops = sorted(((slots[h % lines.SLOTS] * lines.COMMON // most).bit_length() << 32) + (h % (1 << 27)) * 32 + (h >> 27) for h in hs)[: lines.TOPS]
-        keys[x] = {(a, b) for i, a in enumerate(tops) for b in tops[i + 1 : i + 3]}
+        tops[x] = sorted(((slots[h % lines.SLOTS] * lines.COMMON // most).bit_length() << 32) + (h % (1 << 27)) * 32 + (h >> 27) for h in hs)[: lines.TOPS]
+        keys[x] = {(a, b) for i, a in enumerate(tops[x]) for b in tops[x][i + 1 : i + 3]}
     distinct = sorted(words)
     root = {x: x for x in distinct}
 
@@ -260,11 +260,11 @@ def brute_dropped(rows):
     for i, x in enumerate(distinct):
         for y in distinct[:i]:
             longest = max(len(x), len(y))
-            if not keys[x] & keys[y] or min(len(x), len(y)) < 0.8 * longest or len(set(words[x]) & set(words[y])) < max(3, -(-min(len(words[x]), len(words[y])) // 2)):
+            if not keys[x] & keys[y] or min(len(x), len(y)) < 0.8 * longest or len(set(tops[x]) & set(tops[y])) < 3 or len(set(words[x]) & set(words[y])) < -(-min(len(words[x]), len(words[y])) // 2):
                 continue
             v, w = x.split(" "), y.split(" ")
             moved, most = levenshtein(v, w), max(len(v), len(w))
-            if moved <= 0.5 * most and (moved <= 0.25 * most if longest > lines.LONG else levenshtein(x, y) <= 0.2 * longest):
+            if moved <= 0.25 * most if longest > lines.LONG else moved <= 0.2 * most or moved <= lines.MOVED * most and levenshtein(x, y) <= 0.2 * longest:
                 root[find(x)] = find(y)
     first, gone = {}, set()
     for k, p, x in found:

@@ -7,7 +7,8 @@ from tokenizers import Tokenizer
 
 from strataweave.llm import quality, queries
 from strataweave.llm.common import stage
-from test_against_brute_force import SF, brute_fingerprint, brute_repeats, brute_statistics, pairs
+from test_against_brute_force import SF, brute_dropped, brute_repeats, brute_statistics, pairs
+from test_near_copies import first_rows
 
 
 def test_stages(spark):
@@ -24,21 +25,13 @@ def test_stages(spark):
 
     lined = stage(steps["line dedup"](spark, good, SF), "t")
     assert lined.columns == docs.columns and lined.count() == good.count()
-    seen = Counter(x.lower().strip() for _, t in pairs(lined) for x in t.split("\n") if len(x.split()) >= 5)
-    assert max(seen.values()) == 1
-    before = dict(pairs(good))
-    assert all(set(t.split("\n")) <= {*before[d].split("\n"), ""} for d, t in pairs(lined))
+    before = sorted(pairs(good))
+    gone = brute_dropped(before)
+    assert Counter(pairs(lined)) == Counter((d, "\n".join(x for p, x in enumerate(t.split("\n")) if (k, p) not in gone)) for k, (d, t) in enumerate(before))
 
     single = stage(steps["simhash near-dedup"](spark, lined, SF), "t")
-    rows = pairs(lined)
-    fp = {d: brute_fingerprint(t) for d, t in rows}
-    root = {d: d for d in fp}
-    for _ in fp:
-        new = {d: min(root[e] for e in fp if (fp[d] ^ fp[e]).bit_count() <= 2) for d in fp}
-        if new == root:
-            break
-        root = new
-    assert Counter(pairs(single)) == Counter((d, t) for d, t in rows if root[d] == d)
+    rows = sorted(pairs(lined))
+    assert Counter(pairs(single)) == Counter(rows[i] for i in first_rows(rows))
 
     cut = stage(steps["substring dedup"](spark, single, SF), "t")
     assert cut.columns == docs.columns

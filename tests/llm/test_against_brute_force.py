@@ -260,7 +260,10 @@ def brute_dropped(rows):
     for i, x in enumerate(distinct):
         for y in distinct[:i]:
             longest = max(len(x), len(y))
-            if not keys[x] & keys[y] or min(len(x), len(y)) < 0.8 * longest or len(set(tops[x]) & set(tops[y])) < 3 or len(set(words[x]) & set(words[y])) < -(-min(len(words[x]), len(words[y])) // 2):
+            if not keys[x] & keys[y] or min(len(x), len(y)) < 0.8 * longest or len(set(tops[x]) & set(tops[y])) < 3:
+                continue
+            fewer, more = sorted((len(words[x]), len(words[y])))
+            if len(set(words[x]) & set(words[y])) < (-(-6 * more // 10) if more < lines.WORDS else -(-fewer // 2)):
                 continue
             v, w = x.split(" "), y.split(" ")
             moved, most = levenshtein(v, w), max(len(v), len(w))

@@ -109,19 +109,22 @@ def round_half_up(x: Column | str, digits: int = 0) -> Column:
     return F.floor(_col(x) * f + 0.5) / f
 
 
+def _once(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` taken once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def log_sum_exp(xs: Column | str) -> Column:
     """ln of the sum of exponentials of an array, stable; -inf elements count nothing."""
     xs = _col(xs)
-    top = F.array_max(xs)
-    summed = F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.when(top == float("-inf"), top).otherwise(top + F.ln(summed))
+    summed = lambda top: F.aggregate(xs, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    return _once(F.array_max(xs), lambda top: F.when(top == float("-inf"), top).otherwise(top + F.ln(summed(top))))
 
 
 def softmax(xs: Column | str) -> Column:
     """Probabilities from log weights."""
     xs = _col(xs)
-    total = log_sum_exp(xs)
-    return F.transform(xs, lambda x: F.exp(x - total))
+    return _once(log_sum_exp(xs), lambda total: F.transform(xs, lambda x: F.exp(x - total)))
 
 
 def normalize(ps: Column | str) -> Column:
@@ -143,10 +146,13 @@ def argmax(xs: Column | str) -> Column:
 
 def inverse_cdf(ps: Column | str, u: Column | str | float) -> Column:
     """The first place whose cumulative probability reaches ``u``; the last if rounding leaves none."""
-    ps, u = _col(ps), _col(u)
-    cumulative = lambda i: F.aggregate(F.slice(ps, 1, i + 1), F.lit(0.0), lambda a, p: a + p)
-    hits = F.filter(F.sequence(F.lit(0), F.size(ps) - 1), lambda i: cumulative(i) >= u)
-    return F.coalesce(F.get(hits, F.lit(0)), F.size(ps) - 1)
+    start = F.struct(F.lit(0.0).alias("upto"), F.lit(0).alias("at"), F.lit(-1).alias("hit"))
+
+    def step(a: Column, p: Column, u: Column) -> Column:
+        upto = a["upto"] + p
+        return F.struct(upto.alias("upto"), (a["at"] + 1).alias("at"), F.when((a["hit"] < 0) & (upto >= u), a["at"]).otherwise(a["hit"]).alias("hit"))
+
+    return _once(_col(u).cast("double"), lambda u: F.aggregate(_col(ps), start, lambda a, p: step(a, p, u), lambda a: F.when(a["hit"] >= 0, a["hit"]).otherwise(a["at"] - 1)))
 
 
 def seeded_unit(seed: int, *keys: Column | str) -> Column:

@@ -27,10 +27,10 @@ from strataweave.llm.common import release, word_hashes
 
 #: Bytes of text that are cut into pre-tokens at once; longer single texts make longer slices.
 SLICE_BYTES = 1 << 20
-#: Distinct pre-tokens, and tokens of theirs, that a worker remembers before it starts anew: some 40 MB.
-REMEMBERED, REMEMBERED_TOKENS = 240_000, 2_000_000
-#: Pairs of tokens whose compatibility a worker remembers: some 30 MB.
-PAIRS = 200_000
+#: Distinct pre-tokens, and tokens of theirs, that a worker remembers before it starts anew: some 110 MB.
+REMEMBERED, REMEMBERED_TOKENS = 700_000, 6_000_000
+#: Pairs of tokens whose compatibility a worker remembers: some 90 MB.
+PAIRS = 600_000
 
 WHITE, LETTER, NUMBER, OTHER = range(4)
 #: The code points with the Unicode property White_Space.

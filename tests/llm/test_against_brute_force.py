@@ -269,6 +269,11 @@ def brute_dropped(rows):
             moved, most = levenshtein(v, w), max(len(v), len(w))
             if moved <= 0.25 * most if longest > lines.LONG else moved <= 0.2 * most or moved <= lines.MOVED * most and levenshtein(x, y) <= 0.2 * longest:
                 root[find(x)] = find(y)
+    for x in distinct:
+        if not words[x] and len(x) <= lines.SHORT:  # all lines, whatever they share
+            for y in distinct:
+                if x != y and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and levenshtein(x, y) <= 0.2 * max(len(x), len(y)):
+                    root[find(x)] = find(y)
     first, gone = {}, set()
     for k, p, x in found:
         if first.setdefault(find(x), (k, p)) != (k, p):

@@ -1,10 +1,13 @@
 """The distance matrix over the whole of a table."""
 
 import math
+from collections import Counter
 
+import duckdb
 import numpy as np
 
-from strataweave.plans.queries import QUERIES
+from strataweave.operators import metrics
+from strataweave.plans.queries import QUERIES, SQL
 
 
 def test_distance_matrix(spark, tmp_path):
@@ -16,3 +19,21 @@ def test_distance_matrix(spark, tmp_path):
     want = {(i, j): math.dist(x[i].astype(float), x[j].astype(float)) for i in x for j in x}
     assert {(r["i"], r["j"]) for r in got} == set(want)
     assert all(abs(r["distance"] - want[r["i"], r["j"]]) < 1e-5 for r in got)
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """As many rows as the SQL gives, whatever the ids."""
+    rows = [(1, [0.0, 0.0]), (1, [3.0, 4.0]), (None, [0.0, 1.0]), (2, [0.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = Counter(map(tuple, QUERIES["distance_matrix"](spark, str(tmp_path)).collect()))
+    assert got == Counter(db.sql(SQL["distance_matrix"]).fetchall())
+
+
+def test_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "BLOCK", 7)
+    x = np.random.default_rng(3).normal(size=(40, 5))
+    got = metrics.distance_matrix(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")).collect()
+    assert Counter((r["i"], r["j"]) for r in got) == Counter((i, j) for i in range(40) for j in range(40))
+    assert all(abs(r["distance"] - math.dist(x[r["i"]], x[r["j"]])) < 1e-12 for r in got)

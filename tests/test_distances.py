@@ -37,3 +37,15 @@ def test_several_blocks(spark, monkeypatch):
     got = metrics.distance_matrix(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")).collect()
     assert Counter((r["i"], r["j"]) for r in got) == Counter((i, j) for i in range(40) for j in range(40))
     assert all(abs(r["distance"] - math.dist(x[r["i"]], x[r["j"]])) < 1e-12 for r in got)
+
+
+def test_rounded_in_the_blocks(spark, monkeypatch):
+    """Rounding is the operator's, halves up, and leaves null, infinite and huge distances as they are."""
+    monkeypatch.setattr(metrics, "BLOCK", 3)
+    rows = [(0, [0.0]), (1, [0.5]), (2, [1.25]), (3, [0.3749]), (4, None), (5, [None]), (6, [1.0, 2.0]), (7, [float("inf")]), (8, [1e308 ** 0.5])]
+    table = spark.createDataFrame(rows, "id bigint, x array<double>")
+    got = {(r["i"], r["j"]): r["distance"] for r in metrics.distance_matrix(table, digits=1).collect()}
+    assert len(got) == 81
+    assert (got[0, 1], got[0, 2], got[2, 0], got[3, 0], got[1, 3], got[6, 6]) == (0.5, 1.3, 1.3, 0.4, 0.1, 0.0)
+    assert all(got[k, j] is None and got[j, k] is None for k in (4, 5) for j in range(9)) and got[6, 0] is None
+    assert got[7, 0] == got[0, 7] == float("inf") and got[0, 8] == 1e308 ** 0.5 and math.isnan(got[7, 7])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.bpe import text_slices
-from strataweave.llm.common import mix, nullable, release, run_hashes, stage, word_bounds, word_hashes
+from strataweave.llm.common import mix, nullable, release, run_hashes, stage, unstage, word_bounds, word_hashes
 
 #: Words of an anchor; a window holds WINDOW - ANCHOR + 1 grams, of which the least is taken.
 ANCHOR = 8
@@ -387,11 +387,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = rows.schema["row"].dataType.simpleString()
     ranges = max(1, math.ceil(size / range_bytes))
     packed = "chunk bigint, range bigint, keys binary, ids binary, text binary, bounds binary, rows binary"
-    table = stage(rows.mapInArrow(_chunks(window, anchor, ranges, chunk_bytes), packed), "chunks")
-    texts = table.where("text is not null").select("chunk", "ids", "text", "bounds", "rows")
+    # keys and texts lie apart, so that the keys' files go once they are answered
+    table = stage(rows.mapInArrow(_chunks(window, anchor, ranges, chunk_bytes), packed).withColumn("kind", F.when(F.col("text").isNull(), "keys").otherwise("texts")), "chunks", by="kind")
+    texts = table.where("kind = 'texts'").select("chunk", "ids", "text", "bounds", "rows")
     answer = "chunk bigint, range bigint, flags binary"
-    first = table.where("keys is not null").select("chunk", "range", "keys").groupBy("range").applyInArrow(_common(hot), answer)
+    first = table.where("kind = 'keys'").select("chunk", "range", "keys").groupBy("range").applyInArrow(_common(hot), answer)
     answers = stage(first.withColumn("step", F.lit(1)), "anchor-answers")
+    unstage(table, "kind=keys")
     bare = texts.select("chunk", "ids", "text", "bounds")
     asked = bare.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_ask(window, anchor, ranges), "chunk bigint, range bigint, keys binary, lows binary, words binary")
     second = asked.groupBy("range").applyInArrow(_extend(window - anchor), answer).withColumn("step", F.lit(2))

@@ -1,11 +1,11 @@
-"""Lines of few words against longer tables: what is compared, and what stays on the disk."""
+"""What is compared, and what stays on the disk."""
 
 import glob
 import random
 
 import pytest
 
-from strataweave.llm import lines
+from strataweave.llm import lines, substring
 from strataweave.llm.common import shared_dir, stage
 
 
@@ -27,3 +27,13 @@ def test_texts_of_lines_go_when_compared(spark):
     before = there()
     assert {r["id"]: list(r["dropped"]) for r in lines.line_report(docs).collect()}[2] == [0]
     assert there() == before
+
+
+def test_keys_of_anchors_go_when_answered(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = stage(spark.createDataFrame([(1, " ".join(words)), (2, "before " + " ".join(words[:30]) + " behind"), (3, None)], "doc_id bigint, text string"), "t")
+    chunks = lambda: {*glob.glob(f"{shared_dir(spark).removeprefix('file:')}/chunks-*")}
+    before = chunks()
+    found = substring.repeated_passages(docs)
+    assert spark.read.parquet(*chunks() - before).where("keys is not null").isEmpty()
+    assert {r["id"]: [tuple(s) for s in r["spans"]] for r in found.collect()} == {1: [], 2: [(1, 30)], 3: []}

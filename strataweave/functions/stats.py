@@ -13,6 +13,16 @@ def weighted_mean(x: str, w: str) -> Column:
     return F.sum(F.col(x) * F.col(w)) / F.sum(w)
 
 
+def exact_mean(x: str) -> Column:
+    """The mean, added up without rounding, so that it doesn't depend on the order of rows: values are taken as the decimals they print as.
+
+    Decimals beyond the 18th are rounded. Where a value is NaN, or a value or the sum is 1e20 or more, it is Spark's mean.
+    """
+    number = F.col(x).try_cast("decimal(38,18)")
+    exact = F.try_sum(number).cast("double") / F.count(x)
+    return F.coalesce(F.when(F.count(number) == F.count(x), exact), F.avg(x))
+
+
 def weighted_covariance(df: DataFrame, x: str, y: str, w: str, name: str = "weighted_cov") -> DataFrame:
     """sum w (x - mean x)(y - mean y) / sum w, the means unweighted: they are taken first, so nothing cancels."""
     means = df.agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +39,9 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells_of_groups(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_nationkey", "c_mktsegment", F.avg("c_acctbal"))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, mean: Callable[[str], Column] = F.avg) -> DataFrame:
     """View C: mean value and count by user and event type, d = 2."""
-    return cells_of_groups(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "event_type", F.avg("value"), F.count("*"))
+    return cells_of_groups(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "event_type", mean("value"), F.count("*"))
 
 
 def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

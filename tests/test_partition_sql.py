@@ -13,3 +13,13 @@ def test_joint_row_partition(spark, tmp_path):
     key = lambda r: (r[0] is None, r)
     got = sorted(map(tuple, QUERIES["joint_row_partition"](spark, str(tmp_path)).collect()), key=key)
     assert got == sorted(db.sql(SQL["joint_row_partition"]).fetchall(), key=key)
+
+
+def test_a_mean_of_just_50_does_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Six decimals with the sum 300: added up as doubles, in the first order they give a mean over 50, in the second one under it."""
+    over, under = (2.18, 113.34, 37.43, 93.72, 36.91, 16.42), (113.34, 37.43, 16.42, 93.72, 36.91, 2.18)
+    huge, spoilt = (1e300, -1e299), (float("nan"),)
+    rows = [(i, "a", v) for i, vs in enumerate((over, under, (50.0,), (50.00000000000001,), huge, spoilt, (None, 1e19, 1e19))) for v in vs]
+    spark.createDataFrame(rows, "user_id bigint, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["row_id"]: r["label"] for r in QUERIES["joint_row_partition"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 1}

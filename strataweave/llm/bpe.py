@@ -8,7 +8,8 @@ once at most and the work is linear. Repeated merging gives the same tokens. Dec
 table: all tokens' bytes lie in one buffer, and a gather copies them.
 
 Texts are cut into pre-tokens by array operations over whole batches, and each distinct pre-token of a batch
-is encoded once.
+is encoded once. Pre-tokens that a worker doesn't know are encoded side by side, a step of each at a time, with the longest
+tokens from a walk down the vocabulary's trie; long ones, and the last few of a batch, one by one by the automaton.
 """
 
 from __future__ import annotations
@@ -27,10 +28,14 @@ from strataweave.llm.common import release, word_hashes
 
 #: Bytes of text that are cut into pre-tokens at once; longer single texts make longer slices.
 SLICE_BYTES = 1 << 20
-#: Distinct pre-tokens, and tokens of theirs, that a worker remembers before it starts anew: some 40 MB.
+#: Distinct pre-tokens, and tokens of theirs, that a worker remembers before it starts anew: some 40 MB with their table.
 REMEMBERED, REMEMBERED_TOKENS = 240_000, 2_000_000
 #: Pairs of tokens whose compatibility a worker remembers: some 30 MB.
 PAIRS = 200_000
+#: Places for pairs of tokens whose compatibility is remembered for pre-tokens side by side: some 5 MB.
+PAIR_SLOTS = 1 << 19
+#: Pre-tokens of more bytes are encoded one by one; others side by side, about so many bytes of them, until few are left.
+LONG_PIECE, SIDE_BY_SIDE, FEW = 64, 1 << 17, 64
 
 WHITE, LETTER, NUMBER, OTHER = range(4)
 #: The code points with the Unicode property White_Space.
@@ -68,6 +73,46 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
+class Table:
+    """A hash table from 64-bit integers to integers, not negative, put in and looked up by arrays; open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0):
+        self.bits, self.used = max(4, 2 * max(len(keys), room) - 1).bit_length() + 1, 0
+        self.keys, self.values = np.zeros(1 << self.bits, np.int64), np.full(1 << self.bits, -1, np.int32)
+        self.put(keys, values)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add ``keys``, each once and none of them in the table."""
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            there = self.values >= 0
+            self.__init__(self.keys[there], self.values[there], self.used + len(keys))
+        self.used += len(keys)
+        at = self._places(keys)
+        while len(keys):
+            free = self.values[at] < 0
+            self.keys[at[free]], self.values[at[free]] = keys[free], values[free]  # of several at one place the last stays
+            left = self.keys[at] != keys
+            keys, values, at = keys[left], values[left], (at[left] + 1) & (len(self.keys) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 for those that aren't there."""
+        at = self._places(keys)
+        out, other = self.values[at], self.keys[at] != keys
+        left = np.flatnonzero(other & (out >= 0))
+        out[other] = -1
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            value, other = self.values[at], self.keys[at] != keys[left]
+            out[left[~other]] = value[~other]
+            on = other & (value >= 0)
+            left, at = left[on], at[on]
+        return out
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary file (tokenizers' JSON). Inside, tokens are numbered by their merge's rank."""
 
@@ -107,10 +152,31 @@ class Vocabulary:
         self.lengths = np.array([len(pieces.get(i, b"")) for i in range(size)], np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self._compatible: dict[int, bool] = {}
+        self._arrays()
         self._forget()
 
+    def _arrays(self) -> None:
+        """What :meth:`encode_pieces` reads: the tables above as arrays, and the trie, whose first 256 nodes are the single bytes."""
+        self._sizes, self._shorter, self._left, self._right = (np.array(x, np.int64) for x in (self.sizes, self.shorter, self.left, self.right))
+        table = lambda pairs: Table(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
+        self._merged = table({a << 32 | b: i for (a, b), i in self.merged.items()})
+        edges, tokens = {}, list(range(256))
+        for i, w in enumerate(self.words):
+            node = ord(w[0])
+            for c in w[1:]:
+                key = node << 8 | ord(c)
+                if (child := edges.get(key)) is None:
+                    child = edges[key] = len(tokens)
+                    tokens.append(-1)
+                node = child
+            tokens[node] = i
+        self._edges, self._token = table(edges), np.array(tokens, np.int64)
+        self._second = self._edges.get(np.arange(1 << 16))
+        self._pairs, self._pair_fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
+
     def _forget(self) -> None:
-        self._slots: dict[int, int] = {}
+        none = np.zeros(0, np.int64)
+        self._slots = Table(none, none)
         self._counts, self._flat, self._used, self._filled = np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.int32), 0, 0
         self._starts = np.zeros(1 << 12, np.int64)
 
@@ -138,6 +204,90 @@ class Vocabulary:
             else:
                 return True
 
+    def _fitting(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As :meth:`compatible`, of arrays."""
+        pair = a << 32 | b
+        at = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % PAIR_SLOTS
+        new = np.flatnonzero(self._pairs[at] != pair)
+        fits = self._pair_fits[at]
+        if len(new):
+            distinct, which = np.unique(pair[new], return_inverse=True)
+            fits[new] = found = self._borders(distinct >> 32, distinct & 0xFFFFFFFF)[which]
+            self._pairs[at[new]] = pair[new]
+            # of several pairs at one place the last has it
+            own = self._pairs[at[new]] == pair[new]
+            self._pair_fits[at[new][own]] = found[own]
+        return fits
+
+    def _borders(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As :meth:`_border`, of arrays."""
+        fits, place = np.ones(len(a), bool), np.arange(len(a))
+        before = np.full(len(a), len(self.sizes) + 1)
+        while len(place):
+            rank = self._merged.get(a << 32 | b)
+            bad = (rank >= 0) & (rank < before)
+            fits[place[bad]] = False
+            first = (a > 255) & (a > b)
+            on = ~bad & (first | (b > 255))
+            a, b, first, place = a[on], b[on], first[on], place[on]
+            before = np.where(first, a, b + 1)
+            a, b = np.where(first, self._right[a], a), np.where(first, b, self._left[b])
+        return fits
+
+    def _longest(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The longest token at each byte of ``raw``, of those that end at or before the byte's place in ``ends``."""
+        out = raw.astype(np.int64)
+        node, place, depth = out, np.arange(len(raw)), 1
+        while len(place):
+            on = place + depth < ends[place]
+            node, place = node[on], place[on]
+            key = node << 8 | raw[place + depth]
+            child = (self._second[key] if depth == 1 else self._edges.get(key)).astype(np.int64)
+            on = child >= 0
+            node, place = child[on], place[on]
+            token = self._token[node]
+            is_token = token >= 0
+            out[place[is_token]] = token[is_token]
+            depth += 1
+        return out
+
+    def encode_pieces(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens, by rank, of the pre-tokens of ``data`` between ``starts`` and ``ends``, and how many each has: :meth:`encode_piece` of all of them side by side."""
+        sizes = ends - starts
+        to = np.cumsum(sizes)
+        raw = np.frombuffer(data, np.uint8)[spread(starts, sizes)]
+        begin = to - sizes
+        longest = self._longest(raw, np.repeat(to, sizes))
+        # the tokens of a pre-token lie in ``out`` from its begin on, ``last`` is the place after them; places rise with them
+        out, alive, last = np.zeros(len(raw), np.int64), np.ones(len(raw) + 1, bool), begin.copy()
+        which, at = np.arange(len(sizes)), begin.copy()
+        t = longest[at]
+        while len(which) > FEW:
+            end, top, first = at + self._sizes[t], last[which], begin[which]
+            good = alive[end]
+            ask = np.flatnonzero(good & (top > first))
+            good[ask] = self._fitting(out[top[ask] - 1], t[ask])
+            put = top[good]
+            out[put] = t[good]
+            last[which[good]] = put + 1
+            at = np.where(good, end, at)
+            shorter = self._shorter[t]
+            back = np.flatnonzero(~good & (shorter < 0))
+            t = np.where(good, longest[np.minimum(end, len(raw) - 1)], shorter)
+            if len(back):
+                alive[at[back]] = False
+                last[which[back]] -= 1
+                t[back] = out[last[which[back]]]
+                at[back] -= self._sizes[t[back]]
+            on = at < to[which]
+            which, at, t = which[on], at[on], t[on]
+        for i in which.tolist():
+            got = self.encode_piece(data[starts[i] : ends[i]].decode("latin-1"))
+            last[i] = begin[i] + len(got)
+            out[begin[i] : last[i]] = got
+        counts = last - begin
+        return out[spread(begin, counts)], counts
+
     def encode_piece(self, piece: str) -> list[int]:
         """Tokens, by rank, of one pre-token, whose bytes are ``piece``'s Latin-1 characters."""
         n, sizes = len(piece), self.sizes
@@ -160,18 +310,27 @@ class Vocabulary:
                 t = out.pop()
                 at -= sizes[t]
 
-    def _learn(self, key: int, piece: bytes) -> int:
-        got = self.encode_piece(piece.decode("latin-1"))
-        slot = self._slots[key] = self._used
-        if slot >= len(self._counts):
-            self._counts, self._starts = np.resize(self._counts, 2 * slot), np.resize(self._starts, 2 * slot)
-        end = self._filled + len(got)
-        if end > len(self._flat):
-            self._flat = np.resize(self._flat, 2 * end)
-        self._flat[self._filled : end] = got
-        self._counts[slot], self._starts[slot] = len(got), self._filled
-        self._used, self._filled = slot + 1, end
-        return slot
+    def _learn(self, keys: np.ndarray, data: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode and remember the pre-tokens of ``data`` between ``starts`` and ``ends``."""
+        sizes = ends - starts
+        for i in np.flatnonzero(sizes > LONG_PIECE).tolist():
+            got = self.encode_piece(data[starts[i] : ends[i]].decode("latin-1"))
+            self._remember(keys[i : i + 1], np.array(got, np.int32), np.array([len(got)]))
+        short = np.flatnonzero(sizes <= LONG_PIECE)
+        for part in np.split(short, np.flatnonzero(np.diff(np.cumsum(sizes[short]) // SIDE_BY_SIDE)) + 1):
+            if len(part):
+                self._remember(keys[part], *self.encode_pieces(data, starts[part], ends[part]))
+
+    def _remember(self, keys: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> None:
+        used, filled = self._used + len(keys), self._filled + len(tokens)
+        if used > len(self._counts):
+            self._counts, self._starts = np.resize(self._counts, 2 * used), np.resize(self._starts, 2 * used)
+        if filled > len(self._flat):
+            self._flat = np.resize(self._flat, 2 * filled)
+        self._flat[self._filled : filled] = tokens
+        self._counts[self._used : used], self._starts[self._used : used] = counts, self._filled + np.cumsum(counts) - counts
+        self._slots.put(keys, np.arange(self._used, used))
+        self._used, self._filled = used, filled
 
     def encode_plain(self, data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the UTF-8 texts that lie in ``data`` between ``bounds``, special tokens' strings taken as text; the texts' bounds in the ids."""
@@ -180,9 +339,13 @@ class Vocabulary:
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
         if self._used > REMEMBERED or self._filled > REMEMBERED_TOKENS:
             self._forget()
-        keys, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        a, b, get, learn = starts[first].tolist(), ends[first].tolist(), self._slots.get, self._learn
-        slots = np.array([s if (s := get(k)) is not None else learn(k, data[a[i] : b[i]]) for i, k in enumerate(keys.tolist())], np.int64)[which]
+        hashes = word_hashes(data, starts, ends).view(np.int64)
+        slots = self._slots.get(hashes)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            keys, first = np.unique(hashes[new], return_index=True)
+            self._learn(keys, data, starts[new[first]], ends[new[first]])
+            slots[new] = self._slots.get(hashes[new])
         counts = self._counts[slots]
         ids = self.ids[self._flat[spread(self._starts[slots], counts)]]
         before = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))

@@ -49,3 +49,12 @@ def test_rounded_in_the_blocks(spark, monkeypatch):
     assert (got[0, 1], got[0, 2], got[2, 0], got[3, 0], got[1, 3], got[6, 6]) == (0.5, 1.3, 1.3, 0.4, 0.1, 0.0)
     assert all(got[k, j] is None and got[j, k] is None for k in (4, 5) for j in range(9)) and got[6, 0] is None
     assert got[7, 0] == got[0, 7] == float("inf") and got[0, 8] == 1e308 ** 0.5 and math.isnan(got[7, 7])
+
+
+def test_a_vector_is_shuffled_once(spark, monkeypatch):
+    """However many blocks there are, rows are not copied for each of them: both sides read one exchange of the vectors."""
+    monkeypatch.setattr(metrics, "BLOCK", 2)
+    found = metrics.distance_matrix(spark.createDataFrame([(i // 3, [float(i % 5)]) for i in range(50)], "id bigint, x array<double>"))
+    assert len(found.collect()) == 2500
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Generate" not in plan and plan.count("ReusedExchange") == 1 and plan.count("ShuffleQueryStage") == 2
